@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources",)
+MODULES = ("sources", "adhoc", "consumption")
 
 
 def all_queries():

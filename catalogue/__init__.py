@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "adhoc", "consumption")
+MODULES = ("sources", "adhoc", "consumption", "supply")
 
 
 def all_queries():

@@ -18,8 +18,8 @@ ACTOR_CFG = ConsumptionConfig(recent_days=1500)
 
 
 def lines_of(t):
-    """Feature lines of this data folder, stored once as the engine keeps them."""
-    return stored(t.spark, t.folder, "feature-lines", lambda: line_features(t.consumption))
+    """Feature lines of this data folder, stored once and laid out by day as the engine keeps them."""
+    return stored(t.spark, t.folder, "feature-lines", lambda: line_features(t.consumption).repartition("day"))
 
 
 def profiles_of(t):
@@ -182,7 +182,7 @@ WHERE s.score >= 2.0 OR s.critical
 """
 
 
-@query("R_FUSE_findings", "SELECT line_id, score, expected, deviation, risk_amount, severity, methods, fingerprint FROM {findings}", "score expected deviation risk_amount:2")
+@query("R_FUSE_findings", "SELECT line_id, score, expected, deviation, risk_amount, severity, methods, fingerprint FROM {findings}", "score expected deviation risk_amount:3")
 def _(t):
     found = fuse.findings(lines_of(t), rules.all_hits(prepared(t), cuts_of(t), CFG), CFG)
     return found.select("line_id", "score", "expected", "deviation", "risk_amount", "severity", F.array_join("methods", ",").alias("methods"), "fingerprint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stockwarden.config import ConsumptionConfig
 from stockwarden.functions.text import present
-from stockwarden.operators.quantiles import quantiles_of_counts
+from stockwarden.operators.quantiles import BUFFERED_VALUES, quantiles_of_counts, widest_group
 from stockwarden.session import materialize
 
 # scope -> the second key column (None: the product alone)
@@ -59,16 +59,17 @@ def build_profiles(lines: DataFrame) -> DataFrame:
     )
     counts = long.groupBy(*keys, "value").agg(F.count("*").alias("n"), F.min("product").alias("label"), F.min("unit").alias("unit"))
     counts = materialize(counts, "profile-counts")
+    buffered = widest_group(counts, keys) <= BUFFERED_VALUES
     first = counts.groupBy(*keys).agg(
         F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"), F.min("value").alias("min"),
         F.max("value").alias("max"), F.min("label").alias("label"), F.min("unit").alias("unit"),
     ).filter("n >= 3")
     probs = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-    centred = first.join(quantiles_of_counts(counts.select(*keys, "value", "n"), keys, "value", probs).drop("total"), keys)
+    centred = first.join(quantiles_of_counts(counts.select(*keys, "value", "n"), keys, "value", probs, buffered).drop("total"), keys)
     centred = materialize(centred, "profile-centres")
     spread = counts.select(*keys, "value", F.col("n").alias("k")).join(centred.select(*keys, "mean", "median"), keys)
     deviations = spread.groupBy(*keys, F.abs(F.col("value") - F.col("median")).alias("deviation")).agg(F.sum("k").alias("n"))
-    mads = quantiles_of_counts(deviations, keys, "deviation", {"mad": 0.5}).select(*keys, "mad")
+    mads = quantiles_of_counts(deviations, keys, "deviation", {"mad": 0.5}, buffered).select(*keys, "mad")
     squares = spread.groupBy(*keys).agg(
         F.sqrt(F.sum(F.col("k") * F.pow(F.col("value") - F.col("mean"), 2)) / (F.sum("k") - 1)).alias("sd"))
     return centred.join(mads, keys).join(squares, keys).select(

@@ -1,12 +1,121 @@
-"""placeholder"""
+"""Transfers between locations: operating reserves, joint allocation and coverage after a transfer."""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from stockwarden.config import UNIT_DECIMALS, SupplyConfig
 from stockwarden.functions.text import region
+from stockwarden.operators.balance import project
+from stockwarden.operators.series import KEYS
 
 
-def regions_of(places, mapping):
+def regions_of(places: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Region of each location: exact mapping, else a mapped name inside it, else its own leading letters."""
     exact, inside = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, value in reversed(list(mapping.items())):
         exact = F.when(F.col("location") == name, value).otherwise(exact)
         inside = F.when(F.upper("location").contains(name.upper()), value).otherwise(inside)
     return places.withColumn("region", F.coalesce(exact, inside, region(F.col("location"))))
+
+
+def operating_reserve(local: DataFrame, cfg: SupplyConfig) -> DataFrame:
+    """What a location keeps: 1.5 reorder points plus horizon demand for its own use; a distribution centre also keeps
+    its region's daily demand for some days, or an equal share of the network's when no location shares its region."""
+    c = F.col
+    placed = regions_of(local, cfg.regions)
+    served = placed.filter(~c("is_dc") & (c("daily_demand") > 0))
+    by_region = served.groupBy("product_id", "region").agg(F.sum("daily_demand").alias("region_demand"))
+    by_product = served.groupBy("product_id").agg(F.sum("daily_demand").alias("network_demand"))
+    centres = placed.filter("is_dc").groupBy("product_id").agg(F.count("*").alias("centres"))
+    rows = placed.join(by_region, ["product_id", "region"], "left").join(by_product, "product_id", "left").join(centres, "product_id", "left")
+    own = F.when(c("daily_demand") > 0, c("reorder_point") * 1.5 + c("horizon_demand")).otherwise(0.0)
+    around = F.coalesce(F.when(c("region_demand") > 0, c("region_demand")), c("network_demand") / F.greatest(c("centres"), F.lit(1)), F.lit(0.0))
+    reserve = own + F.when(c("is_dc"), around * cfg.dc_reserve_days).otherwise(0.0)
+    return rows.withColumn("reserve", reserve).drop("region_demand", "network_demand", "centres")
+
+
+def _step(value: float, decimals: int, mode: str) -> float:
+    m = 10**decimals
+    q = value * m
+    return (math.ceil(q - 1e-9) if mode == "up" else math.floor(q + 1e-9) if mode == "down" else round(q)) / m
+
+
+ALLOCATION = "product_id bigint, origin string, destination string, qty double, free_before double, reserve double, committed_before double, covered_before double"
+
+
+def allocate(rows: pd.DataFrame) -> pd.DataFrame:
+    """Allocate one product's free stock to its needs, most urgent first; what one need takes the next cannot have."""
+    rank = {"out_of_stock": 0, "critical": 1, "reorder": 2}
+    decimals = UNIT_DECIMALS.get(str(rows["unit"].iloc[0]).strip().lower(), 0)
+    needs = rows[rows["criticality"].isin(rank) & (rows["suggested"] > 0)].copy()
+    sources = rows[rows["criticality"].isin(["excess", "ok", "no_movement", "source"])].copy()
+    needs["rank"] = needs["criticality"].map(rank)
+    needs = needs.sort_values(["stockout_day", "rank", "suggested", "location"], ascending=[True, True, False, True], na_position="last")
+    sources["priority"] = [0 if dc else 1 if state == "excess" else 2 for dc, state in zip(sources["is_dc"], sources["criticality"])]
+    free = dict(zip(sources["location"], sources["projected_stock"].fillna(0.0) - sources["reserve"] - sources["committed_out"]))
+    promised = dict(zip(sources["location"], sources["committed_out"]))
+    out = []
+    for need in needs.itertuples():
+        missing = _step(max(0.0, need.suggested - need.committed_in), decimals, "up")
+        order = sources.assign(far=(sources["region"] != need.region).astype(int)).sort_values(
+            ["far", "priority", "projected_stock", "location"], ascending=[True, True, False, True])
+        for source in order.itertuples():
+            available = _step(max(0.0, free[source.location]), decimals, "down")
+            qty = _step(min(missing, available), decimals, "down")
+            if missing <= 0:
+                break
+            if qty <= 0 or source.location == need.location:
+                continue
+            out.append((need.product_id, source.location, need.location, qty, available, source.reserve, promised[source.location], need.committed_in))
+            free[source.location] -= qty
+            promised[source.location] += qty
+            missing = _step(missing - qty, decimals, "nearest")
+    return pd.DataFrame(out, columns=[c.split()[0] for c in ALLOCATION.split(", ")])
+
+
+def propose_transfers(local: DataFrame, cfg: SupplyConfig, committed_out: DataFrame | None = None, committed_in: DataFrame | None = None) -> DataFrame:
+    """Joint allocation per product. State never crosses products, and a product's group is its locations, not its lines."""
+    rows = operating_reserve(local, cfg)
+    for name, table in (("committed_out", committed_out), ("committed_in", committed_in)):
+        if table is None:
+            rows = rows.withColumn(name, F.lit(0.0))
+        else:
+            rows = rows.join(table.select(*KEYS, F.col("qty").alias(name)), KEYS, "left").fillna(0.0, [name])
+    columns = [*KEYS, "unit", "criticality", "suggested", "stockout_day", "projected_stock", "is_dc", "region", "reserve", "committed_out", "committed_in"]
+    moved = rows.select(*columns).groupBy("product_id").applyInPandas(allocate, ALLOCATION)
+    target = local.select("product_id", F.col("location").alias("destination"), "product", "unit", F.col("criticality").alias("destination_criticality"),
+                          F.col("coverage").alias("coverage_before"), "stockout_day", "stockout_date", "need_date", "unit_cost")
+    arrival = max(1, round(cfg.internal_lead_time))
+    q = F.col("stockout_day")
+    return moved.join(target, ["product_id", "destination"]).select(
+        "*", (F.col("qty") * F.col("unit_cost")).alias("amount"), F.date_add(F.lit(cfg.as_of), arrival).alias("arrival_date"),
+        (q.isNull() | (q >= arrival)).alias("in_time"), (q - arrival).alias("slack_days"))
+
+
+def coverage_after(transfers: DataFrame, openings: DataFrame, demand: DataFrame, events: DataFrame, cfg: SupplyConfig) -> DataFrame:
+    """Coverage of both ends of each transfer, by the plan's own projection with the transfer as one more event.
+
+    Every transfer is its own small case: its two keys, their demand and events, and the extra movement.
+    """
+    c = F.col
+    arrival = max(1, round(cfg.internal_lead_time))
+    id_cols = ["product_id", "origin", "destination"]
+    ends = F.array(F.struct(F.lit("destination").alias("end"), c("destination").alias("location"), c("qty").alias("move")),
+                   F.struct(F.lit("origin").alias("end"), c("origin").alias("location"), (-c("qty")).alias("move")))
+    cases = transfers.select(*id_cols, F.explode(ends).alias("e")).select(*id_cols, "e.*")
+    keys = [*id_cols, "end"]
+    mine = lambda df: cases.select(*keys, "location").join(df, KEYS)
+    opening = cases.select(*keys, "location").join(openings, KEYS, "left").select(
+        *keys, F.coalesce("opening", F.lit(0.0)).alias("opening"), F.coalesce("safety", F.lit(0.0)).alias("safety"), F.lit(cfg.horizon).alias("window"))
+    moves = mine(events).select(*keys, "t", c("qty")).unionByName(cases.select(*keys, F.lit(arrival).alias("t"), c("move").alias("qty")))
+    after = project(opening, mine(demand).select(*keys, "step", "qty"), moves, keys, cfg.horizon)
+    wide = after.groupBy(*id_cols).agg(
+        F.max(F.when(c("end") == "destination", c("coverage"))).alias("coverage_after"), F.max(F.when(c("end") == "origin", c("coverage"))).alias("origin_coverage_after"))
+    return transfers.join(wide, id_cols, "left")
+
+

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "adhoc", "consumption", "supply")
+MODULES = ("sources", "adhoc", "consumption", "supply", "ledger")
 
 
 def all_queries():

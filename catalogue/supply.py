@@ -20,8 +20,13 @@ CFG = SupplyConfig(as_of=date(2001, 8, 1), dimension="warehouse", dc_locations=C
 KEYS = series.KEYS
 
 
+def past_lines(t):
+    """Consumption up to the planning day, stored once and laid out by day as the engine keeps it."""
+    return stored(t.spark, t.folder, "history", lambda: t.history.repartition("day"))
+
+
 def lines_at(t, place: str):
-    return series.located(t.history.withColumn("place", F.expr(place)), "place")
+    return series.located(past_lines(t).withColumn("place", F.expr(place)), "place")
 
 
 TEAM = "split(technician, '-')[0]"
@@ -29,7 +34,7 @@ NETWORK = "'ALL'"
 
 
 def wh_lines(t):
-    return series.located(t.history, "warehouse")
+    return series.located(past_lines(t), "warehouse")
 
 
 def wh_series(t):

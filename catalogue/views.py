@@ -328,4 +328,4 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     plain = lambda text: re.sub(r"\{(\w+)\}", lambda m: "" if m[1] == "ntz" else m[1], text)
     ctes = [f"{name} AS ({plain(text)})" for name, text in texts.items() if name in needed]
-    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" if ctes else "") + plain(body)
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT * FROM (" + plain(body) + "\n)") if ctes else plain(body)

@@ -12,10 +12,11 @@ from stockwarden.session import materialize
 
 
 def build_series(lines: DataFrame, cfg: SupplyConfig) -> DataFrame:
-    """Described series per key, stored by key so that the trials run as many tasks as there is data for."""
+    """Described series per key. The trials are heavy per row, so keys are spread over every core, however few bytes they are."""
     gaps = capture_gaps(lines, cfg.gap_threshold) if cfg.gap_threshold > 0 else None
     described = describe_series(daily_series(lines, cfg, gaps), cfg)
-    return materialize(methods.rank_keys(described, cfg).repartition(*KEYS), "series")
+    tasks = 2 * lines.sparkSession.sparkContext.defaultParallelism
+    return materialize(methods.rank_keys(described, cfg).repartition(tasks, *KEYS), "series")
 
 
 def forecast_keys(series: DataFrame, cfg: SupplyConfig) -> DataFrame:

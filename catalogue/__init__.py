@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "adhoc", "consumption", "supply", "ledger")
+MODULES = ("sources", "adhoc", "consumption", "supply", "ledger", "evidence")
 
 
 def all_queries():

@@ -180,6 +180,16 @@ def _(t):
     return history.scheduled_load(t.schedule, history.typical_cases(t.history))
 
 
+@query("R_HIST_history_pack", """
+SELECT 'monthly' AS part, count(DISTINCT month) AS rows, sum(amount) AS amount FROM {enriched} UNION ALL SELECT 'hospitals', count(DISTINCT hospital), sum(amount) FILTER (ts > today - INTERVAL '30' DAY) FROM {enriched}
+UNION ALL SELECT 'trends', count(*), sum(amount_3m) FROM (SELECT sum(amount) FILTER (back <= 3) AS amount_3m FROM {trend_months} GROUP BY product_id HAVING count(*) >= 4)""", "amount:2")
+def _(t):
+    parts = {"monthly": history.monthly(t.consumption), "hospitals": history.hospital_comparison(t.consumption),
+             "trends": history.product_trends(t.consumption).withColumnRenamed("amount_3m", "amount")}
+    rows = [df.agg(F.count("*").alias("rows"), F.sum("amount").alias("amount")).select(F.lit(name).alias("part"), "rows", "amount") for name, df in parts.items()]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
 @query("W15_anchor_moment", "SELECT max(ts) AS today, CAST(max(ts) AS DATE) AS day FROM {consumption}")
 def _(t):
     moment = history.last_moment(t.consumption)

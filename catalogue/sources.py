@@ -166,6 +166,15 @@ def _(t):
     return supply.scheduled_cases(t.raw_headers, datetime(2001, 6, 1))
 
 
+@query("A04_scheduled_cases_null_group", """
+SELECT CASE WHEN hospital_id % 4 <> 0 THEN hospital END AS hospital, hospital_id, CAST(surgery_day AS DATE) AS day, count(*) AS cases FROM {raw_headers}
+WHERE surgery_day > TIMESTAMP '2001-04-01 00:00:00' AND surgery_day <= TIMESTAMP '2001-05-01 00:00:00'
+  AND state NOT IN ('cancel', 'cancelled', 'cancelado', 'done', 'closed', 'invoiced') GROUP BY 1, 2, 3""")
+def _(t):
+    heads = t.raw_headers.withColumn("hospital", F.when(F.col("hospital_id") % 4 != 0, F.col("hospital")))
+    return supply.scheduled_cases(heads, datetime(2001, 4, 1))
+
+
 @query("S11_case_headers", """
 SELECT case_no, state, hospital, technician, registered FROM {raw_headers}
 WHERE registered >= TIMESTAMP '1999-01-01 00:00:00' AND registered <= TIMESTAMP '1999-03-31 23:59:59'""")

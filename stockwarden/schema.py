@@ -6,19 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CONSUMPTION = T.StructType.fromDDL(
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
+def table(columns: str) -> T.StructType:
+    """Schema from `name type, …`; unlike the DDL parser it needs no running session."""
+    pairs = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+CONSUMPTION = table(
     "line_id string, ts timestamp_ntz, day date, case_id bigint, case_no string, hospital string, doctor string, "
     "technician string, sublocation string, warehouse string, product_id bigint, product string, lot string, "
     "expiry timestamp_ntz, qty double, unit string, amount double, amount_estimated boolean, weight_start double, "
     "weight_end double, measured_ml double, weighable boolean, duration_min double, source string"
 )
 
-STOCK = T.StructType.fromDDL(
+STOCK = table(
     "product_id bigint, product string, location string, warehouse string, lot string, expiry timestamp_ntz, "
     "qty double, reserved double, available double, expired boolean, usable double"
 )
 
-PENDING_SUPPLY = T.StructType.fromDDL(
+PENDING_SUPPLY = table(
     "kind string, ref string, supplier string, product_id bigint, qty double, qty_doc double, unit_doc string, "
     "to_location string, from_location string, due_at timestamp_ntz, confirmed boolean, late boolean"
 )

@@ -19,7 +19,7 @@ ACTOR_CFG = ConsumptionConfig(recent_days=1500)
 
 def lines_of(t):
     """Feature lines of this data folder, stored once and laid out by day as the engine keeps them."""
-    return stored(t.spark, t.folder, "feature-lines", lambda: line_features(t.consumption).repartition("day"))
+    return stored(t.spark, t.folder, "feature-lines", lambda: line_features(t.by_day().consumption))
 
 
 def profiles_of(t):
@@ -75,7 +75,7 @@ SELECT b.*, m.mad FROM {profile_base} b JOIN (
 
 @query("A01_profiles", "SELECT * FROM {profiles}", "mean median mad sd p05 p25 p75 p95 min max")
 def _(t):
-    return profiles.build_profiles(line_features(t.consumption)).drop("product_id", "entity")
+    return profiles.build_profiles(lines_of(t)).drop("product_id", "entity")
 
 
 @query("C10_robust_z", """

@@ -8,9 +8,8 @@ shift) are part of the views, so every rule has something to find.
 from __future__ import annotations
 
 import re
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -295,10 +294,11 @@ class Tables:
         names = set(re.findall(r"\{(\w+)\}", text)) - {"ntz"}
         return self.spark.sql(text.replace("{ntz}", "_NTZ"), **{n: getattr(self, n) for n in names})
 
-    @cached_property
-    def stored_consumption(self) -> DataFrame:
-        """Consumption written once as the engine's own table, the form a deployment keeps it in."""
-        return stored(self.spark, self.folder, "consumption", lambda: self.consumption)
+    def by_day(self) -> Tables:
+        """The same tables with the joined facts laid out by day; they move before they grow into text columns."""
+        other = Tables(self.spark, self.folder)
+        other._built["facts"] = self.facts.repartition(F.to_date("l_shipdate"))
+        return other
 
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}

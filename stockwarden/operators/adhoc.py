@@ -71,10 +71,12 @@ def with_total_row(table: DataFrame, by: str, *values: str) -> DataFrame:
 def price_by_longest_prefix(usage: DataFrame, prices: DataFrame, default: tuple[float, float]) -> DataFrame:
     """Each model takes the price of the longest prefix that starts its name; unmatched models take the default.
 
-    The match runs on the distinct model names, so usage rows meet a table with one row per model.
+    Every distinct model name is expanded to its own prefixes, so the match is an equi-join, and usage rows meet a
+    table with one row per model.
     """
     models = usage.select(F.lower("model").alias("model_key")).distinct()
-    fits = models.join(prices, F.startswith(F.col("model_key"), F.lower(F.col("prefix"))))
+    heads = F.transform(F.sequence(F.lit(1), F.length("model_key")), lambda n: F.substring(F.col("model_key"), F.lit(1), n))
+    fits = models.withColumn("head", F.explode(heads)).join(prices.withColumn("head", F.lower("prefix")), "head")
     best = fits.groupBy("model_key").agg(F.max_by(F.struct("prefix", "price_in", "price_out", "read_weight"), F.length("prefix")).alias("p"))
     return (
         usage.withColumn("model_key", F.lower("model")).join(best, "model_key", "left")

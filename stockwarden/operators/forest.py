@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stockwarden.config import ConsumptionConfig
 from stockwarden.operators.quantiles import grouped_quantiles
 from stockwarden.operators.rules import _hit
+from stockwarden.session import materialize
 
 FEATURES = ("qty_log", "f_rate", "f_hour", "f_weekday", "f_night", "f_weekend", "f_no_doctor", "f_duration", "f_volatile", "qty_rel")
 
@@ -22,6 +23,7 @@ def feature_rows(lines: DataFrame) -> DataFrame:
     """Ten features per line; the quantity is also taken relative to its product's median."""
     c = F.col
     medians = grouped_quantiles(lines, ["product_id"], "qty", {"product_median": 0.5}).select("product_id", "product_median")
+    medians = materialize(medians, "product-medians")
     rate = grouped_quantiles(lines.select(F.lit(1).alias("one"), "rate"), ["one"], "rate", {"m": 0.5}).select("m").scalar()
     rows = lines.join(medians, "product_id").withColumn("rate_median", F.coalesce(rate, F.lit(0.0)))
     as_number = {"f_night": "night", "f_weekend": "weekend", "f_no_doctor": "no_doctor", "f_volatile": "volatile"}
@@ -74,43 +76,42 @@ def grow_trees(features: DataFrame, cfg: ConsumptionConfig, rows: int, seed: int
     return drawn.groupBy("tree").applyInPandas(grow, "tree int, sample int, nodes string")
 
 
+def _walkable(nodes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tree as arrays in which a leaf leads to itself, so that a fixed number of steps ends in the leaf."""
+    own = np.arange(len(nodes))
+    leaf = nodes[:, 0] < 0
+    pick = lambda column: np.where(leaf, own, nodes[:, column]).astype(np.int32)
+    return np.where(leaf, 0, nodes[:, 0]).astype(np.int32), nodes[:, 1], pick(2), pick(3), nodes[:, 4]
+
+
 def score_lines(features: DataFrame, trees: DataFrame) -> DataFrame:
     """Anomaly score 2^(-mean path / c). The forest is `cfg.trees` small rows, a bound set by the configuration."""
     grown = [(r.sample, np.array(json.loads(r.nodes))) for r in trees.orderBy("tree").collect()]
     sample = max(s for s, _ in grown)
-    forest = features.sparkSession.sparkContext.broadcast([nodes for _, nodes in grown])
-    norm = max(_path_normal(sample), 1e-9)
+    forest = features.sparkSession.sparkContext.broadcast([_walkable(nodes) for _, nodes in grown])
+    norm, steps, width = max(_path_normal(sample), 1e-9), math.ceil(math.log2(max(sample, 2))), len(FEATURES)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = batch[list(FEATURES)].to_numpy()
-            everyone, total = np.arange(len(x)), np.zeros(len(x))
-            for nodes in forest.value:
-                at = np.zeros(len(x), dtype=int)
-                while True:
-                    feature = nodes[at, 0].astype(int)
-                    inner = feature >= 0
-                    if not inner.any():
-                        break
-                    goes_left = x[everyone, np.maximum(feature, 0)] <= nodes[at, 1]
-                    at = np.where(inner, np.where(goes_left, nodes[at, 2], nodes[at, 3]).astype(int), at)
-                total += nodes[at, 4]
+            values = np.ascontiguousarray(batch[list(FEATURES)].to_numpy()).ravel()
+            row, total = np.arange(len(batch)) * width, np.zeros(len(batch))
+            for feature, cut, left, right, path in forest.value:
+                at = np.zeros(len(batch), dtype=np.int32)
+                for _ in range(steps):
+                    at = np.where(values[row + feature[at]] <= cut[at], left[at], right[at])
+                total += path[at]
             yield pd.DataFrame({"line_id": batch["line_id"], "score": np.power(2.0, -total / len(forest.value) / norm)})
 
     return features.select("line_id", *FEATURES).mapInPandas(score, "line_id string, score double")
 
 
 def forest_scores(lines: DataFrame, cfg: ConsumptionConfig) -> DataFrame:
-    from stockwarden.session import materialize
-
     features = materialize(feature_rows(lines), "forest-features")
     return score_lines(features, grow_trees(features, cfg, features.count()))
 
 
 def forest_hits(lines: DataFrame, cfg: ConsumptionConfig) -> DataFrame:
     """Lines in the top `contamination` share of the scores and above 0.60; nothing below 200 lines."""
-    from stockwarden.session import materialize
-
     scores = materialize(forest_scores(lines, cfg), "forest-scores")
     cut = grouped_quantiles(scores.withColumn("one", F.lit(1)), ["one"], "score", {"cut": 1 - cfg.contamination})
     rows = scores.withColumns({"cut": cut.select("cut").scalar(), "rows": cut.select("total").scalar()})

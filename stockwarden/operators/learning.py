@@ -31,8 +31,8 @@ def label_changes(feedback: DataFrame) -> DataFrame:
 def threshold_shifts(changes: DataFrame) -> DataFrame:
     """Running shift per profile, clipped after every update.
 
-    Adding and clipping turns x into min(u, max(l, x + a)); such steps compose into one of the same form. So each day
-    of a profile is first reduced to its (a, l, u), and the days are then composed: no profile's history is one list.
+    Adding and clipping turns x into min(u, max(l, x + a)); such steps compose into one of the same form. So each hour
+    of a profile is first reduced to its (a, l, u), and the hours are then composed: no profile's history is one list.
     """
     c = F.col
     scopes = F.array(
@@ -52,8 +52,8 @@ def threshold_shifts(changes: DataFrame) -> DataFrame:
         return F.struct((s["a"] + f["a"]).alias("a"), bound(s["l"]).alias("l"), bound(s["u"]).alias("u"))
 
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("labelled_at", "event_id", "delta"))), lambda e: e["delta"])
-    daily = rows.groupBy(*keys, c("labelled_at").cast("date").alias("day")).agg(ordered.alias("deltas"), F.count_if(c("delta") > 0).alias("up"), F.count_if(c("delta") < 0).alias("down"))
-    daily = daily.withColumn("step", F.aggregate("deltas", start, add))
-    total = daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day", "step"))).alias("days"), F.sum("up").alias("justified"), F.sum("down").alias("confirmed"))
-    end = F.aggregate("days", start, lambda s, d: then(s, d["step"]))
+    hourly = rows.groupBy(*keys, F.date_trunc("hour", "labelled_at").alias("hour")).agg(ordered.alias("deltas"), F.count_if(c("delta") > 0).alias("up"), F.count_if(c("delta") < 0).alias("down"))
+    hourly = hourly.withColumn("step", F.aggregate("deltas", start, add))
+    total = hourly.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hour", "step"))).alias("hours"), F.sum("up").alias("justified"), F.sum("down").alias("confirmed"))
+    end = F.aggregate("hours", start, lambda s, d: then(s, d["step"]))
     return total.withColumn("f", end).select(*keys, F.greatest(c("f.l"), F.least(c("f.a"), c("f.u"))).alias("threshold_adj"), "justified", "confirmed")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockwarden.config import ConsumptionConfig
 from stockwarden.functions.text import present
 from stockwarden.operators.profiles import SCOPES, Z_METHODS, product_bounds, scope_structs
+from stockwarden.session import materialize
 
 # Whose expectation wins when several rules state one (lowest first).
 EXPECTED_PRIORITY = {
@@ -88,9 +89,12 @@ def local_hits(lines: DataFrame, cfg: ConsumptionConfig) -> DataFrame:
 
 
 def z_hits(lines: DataFrame, cuts: DataFrame, cfg: ConsumptionConfig) -> DataFrame:
-    """Values far above their scope's median. Lines under every cut-off of their product never reach the shuffle."""
+    """Values far above their scope's median. Lines under every cut-off of their product never reach the shuffle.
+
+    The bounds are one stored row per product: the planner knows their size before it plans the join with the lines.
+    """
     c = F.col
-    bounded = lines.join(product_bounds(cuts), "product_id").filter(
+    bounded = lines.join(materialize(product_bounds(cuts), "product-bounds"), "product_id").filter(
         (c("qty") >= c("qty_bound")) | (c("rate") >= c("rate_bound")))
     scopes = {s: SCOPES[s] for s in Z_METHODS}
     expanded = bounded.select("line_id", "product_id", "qty", "rate", "duration_min", F.explode(scope_structs(scopes)).alias("s"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stockwarden.config import SupplyConfig
 from stockwarden.functions.text import present
+from stockwarden.session import materialize
 
 KEYS = ["product_id", "location"]
 
@@ -38,7 +39,7 @@ def capture_gaps(lines: DataFrame, threshold: float) -> DataFrame:
 
     The arrays hold calendar days, so their size is bounded by the calendar, not by the lines.
     """
-    days = lines.select("location", F.col("ts").cast("date").alias("day")).distinct()
+    days = materialize(lines.select("location", F.col("ts").cast("date").alias("day")).distinct(), "location-days")
     network = days.filter(F.weekday("day") < 5).agg(F.array_sort(F.collect_set("day"))).scalar()
     own = days.groupBy("location").agg(F.collect_set("day").alias("own"), F.min("day").alias("first"), F.max("day").alias("last"))
     inside = own.withColumn("network", network).withColumn(

@@ -96,7 +96,7 @@ SELECT *, 100 * (amount / nullif(amount_prev, 0) - 1) AS change_pct, amount / nu
          coalesce(sum(amount) FILTER (ts <= today - INTERVAL '30' DAY AND ts > today - INTERVAL '60' DAY), 0) AS amount_prev,
          count(DISTINCT case_no) FILTER (ts > today - INTERVAL '30' DAY) AS cases,
          count(DISTINCT case_no) FILTER (ts <= today - INTERVAL '30' DAY AND ts > today - INTERVAL '60' DAY) AS cases_prev FROM {enriched} GROUP BY 1)""",
-       "amount:2 amount_prev:2 change_pct amount_per_case:4 amount_per_case_prev:4")
+       "amount:2 amount_prev:2 change_pct amount_per_case:6 amount_per_case_prev:6")
 def _(t):
     return history.hospital_comparison(t.consumption)
 

@@ -278,7 +278,7 @@ def _(t):
     return methods.trials(wh_series(t), CFG).select(*KEYS, "method", "cut", "wape")
 
 
-@query("F12_backtest_choice", "SELECT * FROM {wh_best}", "wape residual_sd bias")
+@query("F12_backtest_choice", "SELECT * FROM {wh_best}", "wape:8 residual_sd:8 bias:8")
 def _(t):
     return methods.choose_method(methods.trials(wh_series(t), CFG)).drop("n_residuals")
 

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from catalogue.registry import CTES, query
-from catalogue.supply import CFG, KEYS, END, wh_events, wh_forecasts, wh_lines, wh_local, wh_plan, wh_transfers
+from catalogue.supply import CFG, END, KEYS, _balance_ctes, wh_events, wh_forecasts, wh_lines, wh_local, wh_plan, wh_transfers
 from stockwarden.config import Policy
 from stockwarden.operators import classes, history, ledger, replenish, scenario
 from stockwarden.sources import catalog
@@ -225,7 +225,17 @@ def _(t):
     return _free(t)
 
 
-@query("F31_quantity_changes")
+@query("F31_quantity_changes", f"""
+WITH c AS (SELECT product_id, origin, sum(qty) AS committed FROM {{proposals}} WHERE kind IN ('transfer', 'quarantine') AND origin IS NOT NULL AND qty > 0 AND ({_PENDING} OR status IN ('approved', 'executing', 'approved_manual')
+    OR (status IN ('executed', 'late') AND coalesce(doc_state, 'draft') NOT IN ('confirmed', 'assigned', 'partially_available', 'waiting', 'done', 'cancel', 'purchase'))) GROUP BY 1, 2),
+r AS (SELECT p.id, p.kind, p.unit, p.qty AS old_qty, p.amount / p.qty AS cost, p.origin, p.destination, CASE WHEN p.unit = 'mL' THEN ceil(p.qty * 15 - 1e-9) / 10 ELSE ceil(p.qty * 1.5e0 - 1e-9) END AS asked,
+    CASE WHEN p.kind = 'transfer' AND f.stock IS NOT NULL THEN greatest(0, f.stock - f.reserve - (coalesce(c.committed, 0) - p.qty)) END AS room
+  FROM {{proposals}} p LEFT JOIN {{free_stock}} f ON f.product_id = p.product_id AND f.location = p.origin LEFT JOIN c ON c.product_id = p.product_id AND c.origin = p.origin WHERE {_PENDING} AND p.kind IN ('transfer', 'purchase')),
+k AS (SELECT *, CASE WHEN asked > room THEN CASE WHEN unit = 'mL' THEN floor(room * 10 + 1e-9) / 10 ELSE floor(room + 1e-9) END ELSE asked END AS capped,
+    CASE WHEN asked > room THEN CASE WHEN unit = 'mL' THEN ceil((asked - room) * 10 - 1e-9) / 10 ELSE ceil(asked - room - 1e-9) END ELSE 0 END AS missing_at_origin FROM r),
+v AS (SELECT *, capped > 0 AND abs(capped - old_qty) >= 1.0 AS changed, CASE WHEN capped > 0 AND abs(capped - old_qty) >= 1.0 THEN capped ELSE old_qty END AS qty FROM k)
+SELECT id, old_qty, qty, missing_at_origin, changed, qty * cost AS amount, CASE WHEN qty * cost >= 50000 OR qty >= 2500 THEN 'high' WHEN kind = 'purchase' THEN 'medium' WHEN qty * cost < 10000 THEN 'low' ELSE 'medium' END AS risk,
+  qty <= 5000 AND qty * cost <= 110000 AND coalesce(origin, '') <> 'NATION_13' AND coalesce(destination, '') <> 'NATION_13' AS allowed FROM v""", "old_qty qty:2 missing_at_origin:2 amount:4")
 def _(t):
     asked = ledger.pending(t.proposals).select("id", (F.col("qty") * 1.5).alias("qty"))
     return ledger.adjust_quantities(t.proposals, asked, wh_local(t), POLICY, CFG).select("id", "old_qty", "qty", "missing_at_origin", "changed", "amount", "risk", "allowed")
@@ -238,10 +248,37 @@ def _flows(t):
     return scenario.proposal_flows(ledger.active(t.proposals, reported_refs=t.pending), CFG)
 
 
-@query("F25_scenario_demand_and_delays")
+CTES["flows"] = """
+SELECT product_id, destination AS location, 2 AS t, qty FROM {held} WHERE kind = 'transfer' AND destination IS NOT NULL
+UNION ALL SELECT product_id, origin, 2, -qty FROM {held} WHERE kind IN ('transfer', 'quarantine') AND origin IS NOT NULL
+"""
+_OPEN = "SELECT product_id, location, coalesce(stock, 0) AS opening, safety, win FROM {wh_used} WHERE daily > 0"
+
+
+def _scenario_ctes(name: str, factor: str, extra_join: str, delayed: str) -> str:
+    """Base and changed balances in SQL; returns the text of the rows that get worse."""
+    CTES[f"{name}_demand"] = f"SELECT f.product_id, f.location, f.step, f.projected AS qty, f.projected * {factor} AS new_qty FROM {{wh_fc}} f JOIN {{wh_used}} u ON u.product_id = f.product_id AND u.location = f.location {extra_join}"
+    for side, qty, t in (("base", "qty", "t"), ("new", "new_qty", delayed)):
+        _balance_ctes(f"{name}_{side}", _OPEN, f"SELECT product_id, location, step, {qty} AS qty FROM {{{name}_demand}}",
+                      f"SELECT product_id, location, {t} AS t, qty FROM {{wh_events}} UNION ALL SELECT product_id, location, t, qty FROM {{flows}}", "product_id, location")
+        CTES[f"{name}_{side}"] = CTES[f"{name}_{side}"].replace("CASE WHEN demand <= 0", "CASE WHEN d.demand <= 0")
+    state = lambda s, d: (f"CASE WHEN {d} <= 0 THEN 3 WHEN {s}.stockout_day <= 1 THEN 0 WHEN {s}.stockout_day <= u.lead_time THEN 1 WHEN {s}.window_shortfall > 0 AND (coalesce({s}.stockout_day <= u.lead_time + 7, FALSE) "
+                          f"OR coalesce({s}.below_safety_day <= u.lead_time + 7, FALSE)) THEN 2 ELSE 3 END")
+    return f"""
+SELECT u.product_id, u.location, b.stockout_day AS base_stockout, n.stockout_day AS new_stockout, n.coverage AS new_coverage, greatest(0, n.shortfall - b.shortfall) AS residual_shortfall, n.shortfall
+FROM {{wh_used}} u JOIN {{{name}_base}} b ON b.product_id = u.product_id AND b.location = u.location JOIN {{{name}_new}} n ON n.product_id = u.product_id AND n.location = u.location WHERE u.daily > 0
+AND ({state('n', 'n.demand')} < {state('b', 'b.demand')} OR (n.stockout_day IS NOT NULL AND (b.stockout_day IS NULL OR n.stockout_day < b.stockout_day)))"""
+
+
+_WORSE = ["product_id", "location", "base_stockout", "new_stockout", "new_coverage", "residual_shortfall", "shortfall"]
+
+
+@query("F25_scenario_demand_and_delays", _scenario_ctes(
+    "surge", "CASE WHEN f.step BETWEEN 3 AND 20 THEN CASE WHEN f.location = 'NATION_7' THEN 1.4e0 ELSE 1.0e0 END * CASE WHEN f.product LIKE 'volatile%' THEN 1.2e0 ELSE 1.0e0 END ELSE 1.0e0 END", "",
+    "CASE WHEN qty > 0 AND ref LIKE 'PO%' THEN t + 5 ELSE t END"), "new_coverage:2 residual_shortfall shortfall")
 def _(t):
     what_if = scenario.Scenario("surge", {"NATION_7": 1.4, "volatile": 1.2}, {"PO": 5}, first_day=3, last_day=20)
-    return scenario.simulate(wh_local(t), wh_forecasts(t), wh_events(t), what_if, CFG, _flows(t))
+    return scenario.simulate(wh_local(t), wh_forecasts(t), wh_events(t), what_if, CFG, _flows(t)).select(*_WORSE)
 
 
 @query("F25_scenario_without_change", "SELECT product_id, location FROM {wh_used} WHERE FALSE")
@@ -249,10 +286,16 @@ def _(t):
     return scenario.simulate(wh_local(t), wh_forecasts(t), wh_events(t), scenario.Scenario("none"), CFG, _flows(t)).select(*KEYS)
 
 
-@query("F26_schedule_growth")
+CTES["busy"] = """
+SELECT s.hospital, min(CAST(day - DATE '2001-08-01' AS INT)) AS first, max(CAST(day - DATE '2001-08-01' AS INT)) AS last FROM {schedule} s WHERE day > DATE '2001-08-01' AND day <= DATE '2001-08-31'
+AND hospital IN (SELECT hospital FROM (SELECT hospital, sum(cases) / count(DISTINCT day) AS per_day FROM {schedule} GROUP BY 1) JOIN {typical} USING (hospital) WHERE per_day / typical >= 1.3) GROUP BY 1
+"""
+
+
+@query("F26_schedule_growth", _scenario_ctes("growth", "CASE WHEN f.step BETWEEN y.first AND y.last THEN 1.2e0 ELSE 1.0e0 END", "LEFT JOIN {busy} y ON y.hospital = u.location", "t"), "new_coverage:2 residual_shortfall shortfall")
 def _(t):
     load = history.scheduled_load(t.schedule, history.typical_cases(t.history))
-    return scenario.schedule_growth(wh_local(t), wh_forecasts(t), wh_events(t), load, t.schedule, CFG, proposals=_flows(t))
+    return scenario.schedule_growth(wh_local(t), wh_forecasts(t), wh_events(t), load, t.schedule, CFG, proposals=_flows(t)).select(*_WORSE)
 
 
 @query("F26_preventive_transfers", """

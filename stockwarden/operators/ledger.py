@@ -320,7 +320,8 @@ def adjust_quantities(proposals: DataFrame, requested: DataFrame, local: DataFra
     rows = rows.join(free, ["product_id", "origin"], "left")
     decimals = unit_decimals(c("unit"))
     asked = round_unit(c("asked"), decimals, "up")
-    room = F.when(c("kind") == "transfer", F.greatest(F.lit(0.0), c("stock") - c("reserve") - (c("committed") - c("qty"))))
+    # an origin without a stock record sets no cap
+    room = F.when((c("kind") == "transfer") & c("stock").isNotNull(), F.greatest(F.lit(0.0), c("stock") - c("reserve") - (c("committed") - c("qty"))))
     capped = F.when(room.isNotNull() & (asked > room), round_unit(room, decimals, "down")).otherwise(asked)
     missing = F.when(room.isNotNull() & (asked > room), round_unit(asked - room, decimals, "up")).otherwise(0.0)
     unit_cost = F.try_divide(c("amount"), c("qty"))

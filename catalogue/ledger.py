@@ -235,7 +235,7 @@ k AS (SELECT *, CASE WHEN asked > room THEN CASE WHEN unit = 'mL' THEN floor(roo
     CASE WHEN asked > room THEN CASE WHEN unit = 'mL' THEN ceil((asked - room) * 10 - 1e-9) / 10 ELSE ceil(asked - room - 1e-9) END ELSE 0 END AS missing_at_origin FROM r),
 v AS (SELECT *, capped > 0 AND abs(capped - old_qty) >= 1.0 AS changed, CASE WHEN capped > 0 AND abs(capped - old_qty) >= 1.0 THEN capped ELSE old_qty END AS qty FROM k)
 SELECT id, old_qty, qty, missing_at_origin, changed, qty * cost AS amount, CASE WHEN qty * cost >= 50000 OR qty >= 2500 THEN 'high' WHEN kind = 'purchase' THEN 'medium' WHEN qty * cost < 10000 THEN 'low' ELSE 'medium' END AS risk,
-  qty <= 5000 AND qty * cost <= 110000 AND coalesce(origin, '') <> 'NATION_13' AND coalesce(destination, '') <> 'NATION_13' AS allowed FROM v""", "old_qty qty:2 missing_at_origin:2 amount:4")
+  qty <= 5000 AND qty * cost <= 110000 AND coalesce(origin, '') <> 'NATION_13' AND coalesce(destination, '') <> 'NATION_13' AS allowed FROM v""", "old_qty qty:2 missing_at_origin:2 amount:6")
 def _(t):
     asked = ledger.pending(t.proposals).select("id", (F.col("qty") * 1.5).alias("qty"))
     return ledger.adjust_quantities(t.proposals, asked, wh_local(t), POLICY, CFG).select("id", "old_qty", "qty", "missing_at_origin", "changed", "amount", "risk", "allowed")
@@ -288,14 +288,14 @@ def _(t):
 
 CTES["busy"] = """
 SELECT s.hospital, min(CAST(day - DATE '2001-08-01' AS INT)) AS first, max(CAST(day - DATE '2001-08-01' AS INT)) AS last FROM {schedule} s WHERE day > DATE '2001-08-01' AND day <= DATE '2001-08-31'
-AND hospital IN (SELECT hospital FROM (SELECT hospital, sum(cases) / count(DISTINCT day) AS per_day FROM {schedule} GROUP BY 1) JOIN {typical} USING (hospital) WHERE per_day / typical >= 1.3) GROUP BY 1
+AND hospital IN (SELECT hospital FROM (SELECT hospital, sum(cases) / count(DISTINCT day) AS per_day FROM {schedule} GROUP BY 1) JOIN {typical} USING (hospital) WHERE per_day / typical >= 0.3) GROUP BY 1
 """
 
 
-@query("F26_schedule_growth", _scenario_ctes("growth", "CASE WHEN f.step BETWEEN y.first AND y.last THEN 1.2e0 ELSE 1.0e0 END", "LEFT JOIN {busy} y ON y.hospital = u.location", "t"), "new_coverage:2 residual_shortfall shortfall")
+@query("F26_schedule_growth", _scenario_ctes("growth", "CASE WHEN f.step BETWEEN y.first AND y.last THEN 1.8e0 ELSE 1.0e0 END", "LEFT JOIN {busy} y ON y.hospital = u.location", "t"), "new_coverage:2 residual_shortfall shortfall")
 def _(t):
     load = history.scheduled_load(t.schedule, history.typical_cases(t.history))
-    return scenario.schedule_growth(wh_local(t), wh_forecasts(t), wh_events(t), load, t.schedule, CFG, proposals=_flows(t)).select(*_WORSE)
+    return scenario.schedule_growth(wh_local(t), wh_forecasts(t), wh_events(t), load, t.schedule, CFG, min_ratio=0.3, growth=1.8, proposals=_flows(t)).select(*_WORSE)
 
 
 @query("F26_preventive_transfers", """

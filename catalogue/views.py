@@ -79,7 +79,7 @@ SELECT CAST(l.l_partkey % 16 AS BIGINT) AS product_id,
 FROM {lineitem} l
 JOIN {supplier} s ON s.s_suppkey = l.l_suppkey
 JOIN {nation} n ON n.n_nationkey = s.s_nationkey
-WHERE l.l_shipdate > TIMESTAMP '2001-05-01 00:00:00' AND l.l_shipdate <= TIMESTAMP '2001-08-01 00:00:00'
+WHERE l.l_shipdate > TIMESTAMP '2001-07-01 00:00:00' AND l.l_shipdate <= TIMESTAMP '2001-08-01 00:00:00'
 GROUP BY l.l_partkey % 16, n.n_name, l.l_suppkey % 2, l.l_suppkey % 6
 """
 

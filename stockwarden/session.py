@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY, None)
     if path:
         return path
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
     return _LOCAL_DIRS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="stockwarden-"))
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from stockwarden.llm.common import crc_mod
 
@@ -132,7 +133,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees=60, depth=3, bins=64, rate=0.1
     return Trees(base, *(np.stack(s) for s in out))
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def _statistics(texts: pd.Series) -> pd.Series:
     return pd.Series(list(statistics(texts)))
 

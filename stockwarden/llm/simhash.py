@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from stockwarden.llm.common import fresh, mix64, word_bounds, words_of
 from stockwarden.llm.components import components
@@ -59,7 +60,7 @@ def fingerprint_of(text: str | None) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def fingerprint(texts: pd.Series) -> pd.Series:
     """The fingerprint's 64 bits as a signed number."""
     return pd.Series(np.array([fingerprint_of(t) for t in texts], np.uint64).view(np.int64))

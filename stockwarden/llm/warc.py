@@ -130,7 +130,7 @@ def _writer(folder: str, dictionary):
         def close():
             name = f"part-{context.partitionId():06d}-{n:04d}.warc.zst"
             rough = f"{base}/_attempt-{context.taskAttemptId()}-{name}"
-            with store.open_output_stream(rough) as out:
+            with store.open_output_stream(rough, compression=None) as out:
                 out.write(b"".join([first_frame(raw), *whole]))
             store.move(rough, f"{base}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, count, held)], schema=_WRITTEN)

@@ -124,7 +124,7 @@ FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n O
 
 VIEWS["raw_lines"] = """
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT)) AS line_id,
-       l_orderkey AS case_id, '' AS case_no, CAST(NULL AS TIMESTAMP{ntz}) AS ts,
+       CASE WHEN l_linenumber = 6 AND l_partkey % 5 = 0 THEN -l_orderkey ELSE l_orderkey END AS case_id, '' AS case_no, CAST(NULL AS TIMESTAMP{ntz}) AS ts,
        CAST(l_partkey % 16 AS BIGINT) AS product_id, concat('item ', l_partkey % 16) AS product,
        CASE WHEN l_linenumber = 2 THEN CAST((l_partkey + 1) % 16 AS BIGINT) END AS effective_product_id,
        CASE WHEN l_linenumber = 2 AND l_partkey % 2 = 0 THEN concat('variant ', (l_partkey + 1) % 16) END AS effective_product,
@@ -315,17 +315,19 @@ def stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
 
 
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:
-    """DuckDB text: the CTEs `body` needs, in definition order, then `body`."""
+    """DuckDB text: the CTEs `body` needs, each after those it needs itself, then `body`."""
     texts = {**VIEWS, **(extra or {})}
-    needed: set[str] = set()
+    seen: set[str] = set()
+    needed: list[str] = []
 
     def visit(text: str) -> None:
         for name in re.findall(r"\{(\w+)\}", text):
-            if name in texts and name not in needed:
-                needed.add(name)
+            if name in texts and name not in seen:
+                seen.add(name)
                 visit(texts[name])
+                needed.append(name)
 
     visit(body)
     plain = lambda text: re.sub(r"\{(\w+)\}", lambda m: "" if m[1] == "ntz" else m[1], text)
-    ctes = [f"{name} AS ({plain(text)})" for name, text in texts.items() if name in needed]
+    ctes = [f"{name} AS ({plain(texts[name])})" for name in needed]
     return ("WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT * FROM (" + plain(body) + "\n)") if ctes else plain(body)

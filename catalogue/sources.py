@@ -35,20 +35,20 @@ SELECT picking_id, product_id, lot, expiry FROM (
 """
 
 CTES["headed"] = """
-SELECT l.line_id, l.case_id, h.case_no, h.picking_id,
+SELECT l.line_id, l.case_id, coalesce(h.case_no, l.case_no) AS case_no, h.picking_id,
        coalesce(l.effective_product_id, l.product_id) AS product_id,
        CASE WHEN l.effective_product_id IS NOT NULL THEN coalesce(nullif(l.effective_product, ''), l.product) ELSE l.product END AS product,
        l.qty, l.unit, l.amount,
-       coalesce(nullif(l.hospital, ''), h.hospital) AS hospital, coalesce(nullif(l.doctor, ''), h.doctor) AS doctor,
-       coalesce(nullif(l.technician, ''), h.technician) AS technician, coalesce(nullif(l.sublocation, ''), h.sublocation) AS sublocation,
+       coalesce(nullif(l.hospital, ''), nullif(h.hospital, ''), '') AS hospital, coalesce(nullif(l.doctor, ''), nullif(h.doctor, ''), '') AS doctor,
+       coalesce(nullif(l.technician, ''), nullif(h.technician, ''), '') AS technician, coalesce(nullif(l.sublocation, ''), nullif(h.sublocation, ''), '') AS sublocation,
        CASE WHEN coalesce(h.surgery_day, h.registered) IS NOT NULL AND h.start_hour > 0
             THEN coalesce(h.surgery_day, h.registered) + INTERVAL '1' MINUTE * CAST(h.start_hour * 60 AS INT)
             ELSE coalesce(h.start_ts, h.surgery_day, h.registered) END AS ts,
        CASE WHEN h.start_hour > 0 AND h.end_hour > 0 AND h.end_hour <> h.start_hour
             THEN (h.end_hour - h.start_hour) * 60 + CASE WHEN h.end_hour < h.start_hour THEN 1440 ELSE 0 END
             WHEN h.start_ts IS NOT NULL THEN 95.0e0 ELSE l.duration_min END AS duration_min
-FROM {raw_lines} l JOIN {raw_headers} h ON h.case_id = l.case_id
-WHERE h.state NOT IN ('cancel', 'cancelled', 'cancelado')
+FROM {raw_lines} l LEFT JOIN {raw_headers} h ON h.case_id = l.case_id
+WHERE h.state IS NULL OR h.state NOT IN ('cancel', 'cancelled', 'cancelado')
 """
 
 CTES["assembled"] = """
@@ -56,7 +56,7 @@ SELECT d.line_id, d.ts, CAST(d.ts AS DATE) AS day, d.case_id, d.case_no, d.hospi
        split_part(d.sublocation, '/', 1) AS warehouse, d.product_id, d.product, coalesce(f.lot, '') AS lot, f.expiry, d.qty, d.unit,
        ROUND(d.qty * c.standard_cost, 2) AS amount, c.standard_cost > 0 AS amount_estimated, d.duration_min
 FROM {headed} d LEFT JOIN {first_lot} f ON f.picking_id = d.picking_id AND f.product_id = d.product_id
-JOIN {costs} c ON c.product_id = d.product_id WHERE d.qty <> 0
+JOIN {costs} c ON c.product_id = d.product_id WHERE d.qty <> 0 AND d.ts IS NOT NULL
 """
 
 
@@ -320,7 +320,7 @@ def _(t):
 
 
 @query("P14_name_lookup", """
-SELECT product_id, name, code FROM {products} WHERE lower(name) LIKE '%ring%' OR lower(code) LIKE '%ring%' ORDER BY id LIMIT 15""")
+SELECT product_id, name, code FROM {products} WHERE lower(name) LIKE '%ring%' OR lower(code) LIKE '%ring%'""")
 def _(t):
     return catalog.find_by_name(t.products, "RING", "name", "code").select("product_id", "name", "code")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockwarden.functions.maths import decimals_from_step
 from stockwarden.functions.text import contains_text
+from stockwarden.session import materialize
 
 
 def products(table: DataFrame, storable_only: bool = True, limit: int = 0) -> DataFrame:
@@ -27,46 +28,61 @@ def medical_units(partners: DataFrame, flag: str | None) -> DataFrame:
     return partners.filter(F.coalesce(F.col(flag).cast("boolean"), F.lit(False)))
 
 
-def find_by_name(table: DataFrame, text: str, *columns: str, limit: int = 15) -> DataFrame:
-    """Name lookup: literal text in any of the columns, the first `limit` rows by id."""
-    return table.filter(contains_text(text, *[F.col(c) for c in columns])).orderBy("id").limit(limit)
+def find_by_name(table: DataFrame, text: str, *columns: str, limit: int | None = None) -> DataFrame:
+    """Name lookup: literal text in any of the columns, by id; the first `limit` rows if the caller sets it."""
+    found = table.filter(contains_text(text, *[F.col(c) for c in columns]))
+    return found.orderBy("id") if limit is None else found.orderBy("id").limit(limit)
 
 
-def absolute_factors(units: DataFrame, max_depth: int = 32) -> DataFrame:
+def _walked(steps: DataFrame, rounds: int) -> DataFrame:
+    """(unit_id, at_id, divisor, ended): every pointer doubled until all chains have ended or `rounds` are over.
+
+    A step that has ended points to itself with divisor 1, so joining a table of steps with itself doubles their length.
+    """
+    for _ in range(rounds):
+        if not steps.where("not ended").take(1):
+            break
+        ahead = steps.select(F.col("unit_id").alias("at_id"), F.col("at_id").alias("next_id"), F.col("divisor").alias("more"), F.col("ended").alias("done"))
+        steps = steps.join(ahead, "at_id").select("unit_id", F.col("next_id").alias("at_id"), (F.col("divisor") * F.col("more")).alias("divisor"), F.col("done").alias("ended"))
+        steps = materialize(steps, "unit-steps")
+    return steps
+
+
+def absolute_factors(units: DataFrame) -> DataFrame:
     """Absolute factor of every unit: its own when stored, else 1 over the product of relative factors up the chain.
 
-    A chain ends at a unit with a stored factor, at one without a parent, or where it would revisit a unit.
+    A chain ends at a unit with a stored factor, at one without a (known) parent, or where it would revisit a unit: units of
+    a cycle have 1 over the product of its relative factors. Chains may have any depth; log2 of it joins resolve them.
     """
-    spark = units.sparkSession
     clean = units.select(
-        "unit_id", "name", "rounding", "factor",
-        F.when(F.col("parent_id") != F.col("unit_id"), F.col("parent_id")).alias("parent_id"),
-        F.coalesce(F.nullif("relative_factor", F.lit(0.0)), F.lit(1.0)).alias("relative"),
-    )
-    chains = spark.sql(
-        f"""
-        WITH RECURSIVE walk(unit_id, at_id, divisor, depth, path, next_id, stored) MAX RECURSION LEVEL {max_depth + 1} AS (
-          SELECT unit_id, unit_id, CAST(1.0 AS DOUBLE), 0, array(unit_id), parent_id, factor FROM {{units}}
-          UNION ALL
-          SELECT w.unit_id, u.unit_id, w.divisor * c.relative, w.depth + 1, concat(w.path, array(u.unit_id)),
-                 u.parent_id, u.factor
-          FROM walk w
-          JOIN {{units}} c ON c.unit_id = w.at_id
-          JOIN {{units}} u ON u.unit_id = w.next_id
-          WHERE w.stored IS NULL AND NOT array_contains(w.path, w.next_id) AND w.depth < {max_depth}
-        )
-        SELECT unit_id, max_by(struct(at_id, divisor, stored), depth) AS top FROM walk GROUP BY unit_id
-        """,
-        units=clean,
-    )
-    ends = chains.select("unit_id", F.col("top.at_id").alias("at_id"), F.col("top.divisor").alias("divisor"),
-                         F.nullif(F.col("top.stored"), F.lit(0.0)).alias("stored"), F.col("top.stored").isNotNull().alias("has"))
-    roots = clean.select(F.col("unit_id").alias("at_id"), F.col("relative").alias("root_relative"))
-    root = F.when(F.col("has"), F.coalesce("stored", F.lit(1.0))).otherwise(1.0 / F.col("root_relative"))
-    return (
-        clean.join(ends, "unit_id").join(roots, "at_id")
-        .select("unit_id", "name", "rounding", (root / F.col("divisor")).alias("factor"))
-    )
+        "unit_id", "name", "rounding", "factor", F.when(F.col("parent_id") != F.col("unit_id"), F.col("parent_id")).alias("parent_id"),
+        F.coalesce(F.nullif("relative_factor", F.lit(0.0)), F.lit(1.0)).alias("relative"))
+    parents = clean.select(F.col("unit_id").alias("parent_id"), F.lit(True).alias("known"))
+    clean = materialize(clean.join(parents, "parent_id", "left").withColumn("parent_id", F.when(F.col("known"), F.col("parent_id"))).drop("known"), "units")
+    ended = F.col("factor").isNotNull() | F.col("parent_id").isNull()
+    first = clean.select("unit_id", F.when(ended, F.col("unit_id")).otherwise(F.col("parent_id")).alias("at_id"),
+                         F.when(ended, 1.0).otherwise(F.col("relative")).alias("divisor"), ended.alias("ended"))
+    rounds = clean.count().bit_length() + 1
+    # `ended` of a first step speaks of the unit itself; a step's end is known after it was joined once.
+    steps = _walked(materialize(first, "unit-steps"), rounds)
+    own_root = F.when(F.col("factor").isNotNull(), F.coalesce(F.nullif("factor", F.lit(0.0)), F.lit(1.0))).otherwise(1.0 / F.col("relative"))
+    roots = clean.select(F.col("unit_id").alias("at_id"), own_root.alias("root"))
+    if steps.where("not ended").take(1):
+        # After that many steps every open pointer stands on a cycle, and all units of cycles are stood on.
+        on_cycle = materialize(steps.where("not ended").select(F.col("at_id").alias("unit_id")).distinct(), "unit-cycles")
+        ring = clean.join(on_cycle, "unit_id").select("unit_id", F.col("parent_id").alias("at_id"), "relative")
+        least = ring.select("unit_id", "at_id", F.least("unit_id", "at_id").alias("least"))
+        for _ in range(rounds):  # the smallest unit of a cycle names it
+            ahead = least.select(F.col("unit_id").alias("at_id"), F.col("at_id").alias("next_id"), F.col("least").alias("other"))
+            least = materialize(least.join(ahead, "at_id").select("unit_id", F.col("next_id").alias("at_id"), F.least("least", "other").alias("least")), "unit-cycles")
+        named = ring.select("unit_id", "relative").join(least.select("unit_id", "least"), "unit_id")
+        whole = named.join(named.groupBy("least").agg(F.product("relative").alias("whole")), "least").select(F.col("unit_id").alias("at_id"), (1.0 / F.col("whole")).alias("root"))
+        roots = roots.join(on_cycle.withColumnRenamed("unit_id", "at_id"), "at_id", "left_anti").unionByName(whole)
+        cut = first.join(on_cycle.withColumn("ring", F.lit(True)), "unit_id", "left")
+        cut = cut.select("unit_id", F.when(F.col("ring"), F.col("unit_id")).otherwise(F.col("at_id")).alias("at_id"), F.when(F.col("ring"), 1.0).otherwise(F.col("divisor")).alias("divisor"),
+                         (F.col("ended") | F.coalesce("ring", F.lit(False))).alias("ended"))
+        steps = _walked(materialize(cut, "unit-steps"), rounds)
+    return clean.join(steps, "unit_id").join(roots, "at_id").select("unit_id", "name", "rounding", (F.col("root") / F.col("divisor")).alias("factor"))
 
 
 def unit_precision(units: DataFrame) -> DataFrame:

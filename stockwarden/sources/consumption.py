@@ -52,17 +52,21 @@ def effective_product(lines: DataFrame) -> DataFrame:
 
 
 def with_headers(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """Lines of cases that were not cancelled, with the header's real time, duration, people and place."""
+    """Lines of cases that were not cancelled, with the header's real time, duration, people and place.
+
+    A line whose header is absent stays, with what it has itself.
+    """
     shared = [c for c in HEADER_ATTRIBUTES if c in headers.columns]
-    open_cases = headers.filter(~F.coalesce(F.col("state"), F.lit("")).isin(*CANCELLED_STATES)).select(
+    cases = headers.select(
         F.col("case_id"),
+        F.coalesce(F.col("state").isin(*CANCELLED_STATES), F.lit(False)).alias("h_cancelled"),
         F.col("case_no").alias("h_case_no"),
         F.col("picking_id"),
         real_timestamp(F.col("surgery_day"), F.col("start_hour"), F.col("start_ts"), F.col("registered")).alias("h_ts"),
         F.col("start_hour"), F.col("end_hour"), F.col("start_ts"), F.col("end_ts"),
         *[F.col(c).alias(f"h_{c}") for c in shared],
     )
-    joined = lines.join(open_cases, "case_id")
+    joined = lines.join(cases, "case_id", "left").filter(~F.coalesce("h_cancelled", F.lit(False))).drop("h_cancelled")
     merged = {
         c: F.coalesce(blank_to_null(F.col(c)), blank_to_null(F.col(f"h_{c}")), F.lit(""))
         if c in lines.columns else F.coalesce(F.col(f"h_{c}"), F.lit(""))

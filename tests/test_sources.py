@@ -42,7 +42,32 @@ def test_unit_chain_and_cycle(spark):
     units = spark.createDataFrame([(1, "mL", 0.1, None, None, 1.0), (2, "bottle", 1.0, None, 1, 250.0), (3, "case", 1.0, None, 2, 10.0), (4, "a", 1.0, None, 5, 2.0), (5, "b", 1.0, None, 4, 3.0)], UNITS)
     got = {r["name"]: r["factor"] for r in catalog.absolute_factors(units).collect()}
     assert got["mL"] == 1.0 and got["bottle"] == pytest.approx(1 / 250) and got["case"] == pytest.approx(1 / 2500)
-    assert got["a"] > 0 and got["b"] > 0
+    assert got["a"] == pytest.approx(1 / 6) and got["b"] == pytest.approx(1 / 6)
+
+
+def test_unit_chains_of_any_depth_and_cycles_with_tails(spark):
+    chain = [(k, f"u{k}", 1.0, None, k - 1 if k else None, 1.0 if not k else 2.0) for k in range(41)]
+    ring = [(100 + k, f"r{k}", 1.0, None, 100 + (k + 1) % 3, 2.0 + k) for k in range(3)] + [(200, "tail", 1.0, None, 100, 10.0), (201, "end", 1.0, None, 200, 7.0), (300, "lost", 1.0, None, 999, 4.0), (301, "self", 1.0, None, 301, 5.0), (302, "stored", 1.0, 3.0, 0, 9.0), (303, "below", 1.0, None, 302, 2.0)]
+    got = {r["name"]: r["factor"] for r in catalog.absolute_factors(spark.createDataFrame(chain + ring, UNITS)).collect()}
+    assert all(got[f"u{k}"] == pytest.approx(2.0**-k) for k in range(41))
+    assert all(got[f"r{k}"] == pytest.approx(1 / 24) for k in range(3)) and got["tail"] == pytest.approx(1 / 240) and got["end"] == pytest.approx(1 / 1680)
+    assert got["lost"] == 0.25 and got["self"] == 0.2 and got["stored"] == 3.0 and got["below"] == 1.5
+
+
+def test_many_units(spark):
+    units = spark.range(300_000).selectExpr("id as unit_id", "concat('u', id) as name", "1d as rounding", "cast(null as double) as factor", "if(id = 0, null, id div 10) as parent_id", "if(id = 0, 1d, 2d) as relative_factor")
+    got = catalog.absolute_factors(units)
+    assert got.count() == 300_000
+    assert got.filter("unit_id = 299999").first()["factor"] == pytest.approx(2.0**-6)
+
+
+def test_lines_without_a_header_stay(spark):
+    lines = spark.createDataFrame([("a", 1, "", 5.0, "W"), ("b", 2, "C9", 6.0, ""), ("c", 3, "", 7.0, "")], "line_id string, case_id bigint, case_no string, duration_min double, hospital string").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    heads = spark.createDataFrame([(1, "H1", "done", "N"), (3, "H3", "cancel", "N")], "case_id bigint, case_no string, state string, hospital string")
+    for name, kind in (("picking_id", "bigint"), ("surgery_day", "timestamp_ntz"), ("registered", "timestamp_ntz"), ("start_ts", "timestamp_ntz"), ("end_ts", "timestamp_ntz"), ("start_hour", "double"), ("end_hour", "double")):
+        heads = heads.withColumn(name, F.lit(None).cast(kind))
+    got = {r["line_id"]: (r["case_no"], r["hospital"], r["duration_min"]) for r in consumption.with_headers(lines, heads).collect()}
+    assert got == {"a": ("H1", "W", 5.0), "b": ("C9", "", 6.0)}
 
 
 def test_purchase_unit_from_supplier_and_missing_conversion(spark):

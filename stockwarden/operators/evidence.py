@@ -15,42 +15,28 @@ from stockwarden.operators.history import typical_cases
 from stockwarden.operators.patterns import days_before, last_moment
 from stockwarden.operators.quantiles import grouped_quantiles
 
-# Hypotheses per rule, how to check each, and what they are about.
-HYPOTHESES = [
-    ("R01_OVER_CONTAINER", "capture error (unit or decimal)", "compare with the theatre log and the scale", "capture"),
-    ("R01_OVER_CONTAINER", "several bottles recorded on one line", "review lots and weighings of the case", ""),
-    ("R01_OVER_CONTAINER", "real anomalous consumption", "confirm procedure and technique with the anaesthetist", ""),
-    ("R02_SCALE_IMPOSSIBLE", "bottle change or refill not recorded", "check whether a new bottle was opened in the shift", ""),
-    ("R02_SCALE_IMPOSSIBLE", "scale reading tied to the wrong case", "compare the time of the reading with the surgery", ""),
-    ("R02_SCALE_IMPOSSIBLE", "tare or calibration error", "review the calibration log", ""),
-    ("R03_SCALE_MISMATCH", "manual capture below real use (unrecorded loss)", "reconcile the physical bottle and lot", "capture,loss"),
-    ("R03_SCALE_MISMATCH", "undocumented disposal or leak", "ask about purges and spills in the shift", ""),
-    ("R03_SCALE_MISMATCH", "reading belongs to another case", "compare the day's sequence of weighings", ""),
-    ("R04_NO_SURGERY", "incomplete case: doctor or patient not captured", "ask the technician to complete the case with evidence", "capture,incomplete"),
-    ("R04_NO_SURGERY", "use without a surgery behind it", "check the surgery schedule and the theatre log", "surgery"),
-    ("R04_NO_SURGERY", "equipment test or documentable purge", "ask for the maintenance or purge record", ""),
-    ("R06_CLINICAL_RATE", "quantity or duration captured wrong", "compare the duration with start and end of the case", "capture"),
-    ("R06_CLINICAL_RATE", "high-flow technique or longer surgery than recorded", "confirm the technique with the anaesthetist", "surgery"),
-    ("R06_CLINICAL_RATE", "real use outside the norm", "review the doctor's history in similar procedures", ""),
-    ("R07_TRAVELLING_LOT", "transfer between units not recorded", "look for a physical transfer of the lot", "move"),
-    ("R07_TRAVELLING_LOT", "wrong lot selected at capture", "check the physical lot of the bottle used", "capture"),
-    ("R07_TRAVELLING_LOT", "bottle moved without control", "review the lot's stock in both units", ""),
-    ("R08_DUPLICATE", "captured twice (double billing risk)", "check for two procedures at the same time", "capture"),
-    ("R08_DUPLICATE", "two identical real procedures", "confirm with the surgery schedule", ""),
-    ("R09_EXPIRED_LOT", "expired lot in use (sanitary risk)", "inspect and withdraw at once", ""),
-    ("R09_EXPIRED_LOT", "wrong lot selected at capture", "compare the physical lot of the bottle", "capture"),
-    ("R10_LEVEL_SHIFT", "real operating change (surgeries, doctor, technique)", "compare number and kind of surgeries", "surgery"),
-    ("R10_LEVEL_SHIFT", "change in the way of capturing", "check whether the technician or process changed", "capture"),
-    ("R10_LEVEL_SHIFT", "sustained loss", "reconcile physical stock of the sublocation", "loss"),
-    ("R11_ACTOR_DEVIATION", "more complex cases or another technique", "compare surgeries and durations with the peers", ""),
-    ("R11_ACTOR_DEVIATION", "different capture practice (rounding)", "review the distribution of captured quantities", "capture"),
-    ("R11_ACTOR_DEVIATION", "unreconciled difference that may be loss", "physical reconciliation of the shift's bottles", "loss"),
-    ("R12_CASE_FREQUENCY", "extraordinary day or cover for a colleague", "confirm with the head of the shift", ""),
-    ("R12_CASE_FREQUENCY", "late cases captured in a batch", "compare creation dates with surgery dates", "capture"),
-    ("z", "longer or more complex surgery than usual", "compare duration and procedure of the case", "surgery"),
-    ("z", "capture error", "compare with the scale and the log", "capture"),
-    ("z", "real anomalous consumption", "review the history of doctor and technician", ""),
-]
+#: Kinds of cause that evidence can speak for or against: kind -> (hypothesis, check).
+CAUSES = {
+    "capture": ("the entry does not say what happened", "compare the entry with readings and records of the case"),
+    "loss": ("stock left without a record", "count the stock and compare it with the book"),
+    "surgery": ("the case itself was out of the ordinary", "read course and duration of the case"),
+    "incomplete": ("data of the case is missing", "have the case completed"),
+    "move": ("stock changed places without a record", "follow the lot through its places"),
+    "": ("the consumption is real", "watch the cases that follow"),
+}
+#: Which kinds of cause come into question for a rule, likeliest first; an installation may pass its own table instead.
+RULE_CAUSES = {
+    "R01_OVER_CONTAINER": ("capture", ""), "R02_SCALE_IMPOSSIBLE": ("capture", "move"), "R03_SCALE_MISMATCH": ("loss", "capture"), "R04_NO_SURGERY": ("incomplete", "surgery", "loss"),
+    "R06_CLINICAL_RATE": ("capture", "surgery", ""), "R07_TRAVELLING_LOT": ("move", "capture"), "R08_DUPLICATE": ("capture", "surgery"), "R09_EXPIRED_LOT": ("capture", "move"),
+    "R10_LEVEL_SHIFT": ("surgery", "capture", "loss"), "R11_ACTOR_DEVIATION": ("surgery", "capture", "loss"), "R12_CASE_FREQUENCY": ("surgery", "capture"), "z": ("surgery", "capture", ""),
+}
+
+
+def default_hypotheses(spark) -> DataFrame:
+    """(position, rule, hypothesis, check, about) from the causes that come into question for each rule."""
+    rows = [(n, rule, *CAUSES[kind], kind) for rule, kinds in RULE_CAUSES.items() for n, kind in enumerate(kinds)]
+    return spark.createDataFrame(rows, "position int, rule string, hypothesis string, check string, about string")
+
 
 # Proposal kinds per rule.
 CASE_ACTIONS = [
@@ -68,21 +54,24 @@ CASE_ACTIONS = [
 ]
 
 
-def targets(found: DataFrame, patterns: DataFrame, known: DataFrame, max_cases: int = 8, max_patterns: int = 6) -> DataFrame:
-    """What to investigate: severe patterns first, then severe findings by money, without those already investigated."""
+def targets(found: DataFrame, patterns: DataFrame, known: DataFrame, max_cases: int | None = None) -> DataFrame:
+    """What to investigate: all severe patterns and findings that were not investigated before; the first `max_cases`,
+    patterns before findings by money, if the caller sets it."""
     c = F.col
     null = lambda kind: F.lit(None).cast(kind)
     severe = c("severity").isin("critical", "high")
-    some = patterns.filter(severe).orderBy(F.desc("score"), F.desc("risk_amount"), "rule", "key").limit(max_patterns).select(
+    some = patterns.filter(severe).select(
         F.concat_ws("|", F.lit("pattern"), "rule", F.coalesce(c("product_id").cast("string"), F.lit("None")), "key").alias("fingerprint"), F.lit("pattern").alias("kind"),
         F.array("rule").alias("methods"), "dimension", "key", null("string").alias("case_no"), "product_id", "product", "hospital",
         F.when(c("dimension") == "technician", c("actor")).alias("technician"), F.when(c("dimension") == "doctor", c("actor")).alias("doctor"), null("string").alias("lot"),
         F.when(c("dimension") == "sublocation", c("key")).alias("sublocation"), null("timestamp_ntz").alias("ts"), null("double").alias("qty"), "severity", "risk_amount", F.lit(0).alias("tier"))
-    lines = found.filter(severe).orderBy(F.desc("risk_amount"), "line_id").limit(max(12, max_cases * 4)).select(
+    lines = found.filter(severe).select(
         "fingerprint", F.lit("finding").alias("kind"), "methods", null("string").alias("dimension"), null("string").alias("key"), "case_no", "product_id", "product", "hospital", "technician", "doctor",
         "lot", "sublocation", "ts", "qty", "severity", "risk_amount", F.lit(1).alias("tier"))
     rows = some.unionByName(lines).join(known.select("fingerprint"), "fingerprint", "left_anti")
-    return rows.orderBy("tier", F.desc("risk_amount"), "fingerprint").limit(max_cases).drop("tier")
+    if max_cases is not None:
+        rows = rows.orderBy("tier", F.desc("risk_amount"), "fingerprint").limit(max_cases)
+    return rows.drop("tier")
 
 
 def case_content(lines: DataFrame, target_rows: DataFrame) -> dict[str, DataFrame]:
@@ -252,11 +241,13 @@ def signals(target_rows: DataFrame, readings: DataFrame, history: DataFrame, lot
                        flag("has_day").alias("odd_day"), flag("has_lot").alias("foreign_lot"))
 
 
-def rank_hypotheses(signal_rows: DataFrame) -> DataFrame:
-    """Hypotheses of the target's rules, those with most evidence in favour first; equal texts appear once."""
+def rank_hypotheses(signal_rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Hypotheses of the target's rules, those with most evidence in favour first; equal texts appear once.
+
+    `table` holds an installation's own (position, rule, hypothesis, check, about); `about` lists kinds of cause by commas.
+    """
     c = F.col
-    spark = signal_rows.sparkSession
-    table = spark.createDataFrame([(i, *h) for i, h in enumerate(HYPOTHESES)], "position int, rule string, hypothesis string, check string, about string")
+    table = default_hypotheses(signal_rows.sparkSession) if table is None else table
     rule = F.when(F.startswith(c("method"), F.lit("z_")), "z").otherwise(c("method"))
     rows = signal_rows.select("*", F.posexplode("methods").alias("method_order", "method")).withColumn("rule", rule)
     rows = rows.join(table, "rule")
@@ -270,7 +261,7 @@ def rank_hypotheses(signal_rows: DataFrame) -> DataFrame:
                                                          F.min(F.struct("method_order", "position")).alias("seen"))
     flat = once.select("fingerprint", "hypothesis", "h.*", "seen")
     plausible = F.when((c("in_favour") > 0) & (c("against") == 0), "high").when((c("against") > 0) & (c("in_favour") == 0), "low").otherwise("medium")
-    return top_per_group(flat.withColumn("plausibility", plausible), ["fingerprint"], [F.desc(c("in_favour") - c("against")), c("seen")], len(HYPOTHESES)).drop("seen")
+    return top_per_group(flat.withColumn("plausibility", plausible), ["fingerprint"], [F.desc(c("in_favour") - c("against")), c("seen")], 1 << 30).drop("seen")
 
 
 def evidence_confidence(target_rows: DataFrame, readings: DataFrame, history: DataFrame, lots: DataFrame, days: DataFrame, mismatch: DataFrame, periods: DataFrame) -> DataFrame:
@@ -304,13 +295,14 @@ def case_actions(target_rows: DataFrame, fallback: bool = False) -> DataFrame:
     return rows.filter(fits).select("fingerprint", "action", "team").distinct()
 
 
-def active_notes(notes: DataFrame, scope: str = "", text: str = "", limit: int = 500) -> DataFrame:
+def active_notes(notes: DataFrame, scope: str = "", text: str = "", limit: int | None = None) -> DataFrame:
     rows = notes.filter("active")
     if scope:
         rows = rows.filter(F.col("scope") == scope)
     if text:
         rows = rows.filter(contains_text(text, F.col("key"), F.col("note")))
-    return rows.orderBy(F.desc("note_id")).limit(limit)
+    rows = rows.orderBy(F.desc("note_id"))
+    return rows if limit is None else rows.limit(limit)
 
 
 def responsible(methods: Column) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockwarden.config import UNIT_DECIMALS, SupplyConfig
-from stockwarden.functions.text import region
+from stockwarden.config import SupplyConfig
+from stockwarden.functions.maths import round_unit
+from stockwarden.functions.text import region, unit_decimals
 from stockwarden.operators.balance import project
 from stockwarden.operators.series import KEYS
 
@@ -39,43 +37,51 @@ def operating_reserve(local: DataFrame, cfg: SupplyConfig) -> DataFrame:
     return rows.withColumn("reserve", reserve).drop("region_demand", "network_demand", "centres")
 
 
-def _step(value: float, decimals: int, mode: str) -> float:
-    m = 10**decimals
-    q = value * m
-    return (math.ceil(q - 1e-9) if mode == "up" else math.floor(q + 1e-9) if mode == "down" else round(q)) / m
-
-
-ALLOCATION = "product_id bigint, origin string, destination string, qty double, free_before double, reserve double, committed_before double, covered_before double"
-
-
-def allocate(rows: pd.DataFrame) -> pd.DataFrame:
-    """Allocate one product's free stock to its needs, most urgent first; what one need takes the next cannot have."""
-    rank = {"out_of_stock": 0, "critical": 1, "reorder": 2}
-    decimals = UNIT_DECIMALS.get(str(rows["unit"].iloc[0]).strip().lower(), 0)
-    needs = rows[rows["criticality"].isin(rank) & (rows["suggested"] > 0)].copy()
-    sources = rows[rows["criticality"].isin(["excess", "ok", "no_movement", "source"])].copy()
-    needs["rank"] = needs["criticality"].map(rank)
-    needs = needs.sort_values(["stockout_day", "rank", "suggested", "location"], ascending=[True, True, False, True], na_position="last")
-    sources["priority"] = [0 if dc else 1 if state == "excess" else 2 for dc, state in zip(sources["is_dc"], sources["criticality"])]
-    free = dict(zip(sources["location"], sources["projected_stock"].fillna(0.0) - sources["reserve"] - sources["committed_out"]))
-    promised = dict(zip(sources["location"], sources["committed_out"]))
-    out = []
-    for need in needs.itertuples():
-        missing = _step(max(0.0, need.suggested - need.committed_in), decimals, "up")
-        order = sources.assign(far=(sources["region"] != need.region).astype(int)).sort_values(
-            ["far", "priority", "projected_stock", "location"], ascending=[True, True, False, True])
-        for source in order.itertuples():
-            available = _step(max(0.0, free[source.location]), decimals, "down")
-            qty = _step(min(missing, available), decimals, "down")
-            if missing <= 0:
-                break
-            if qty <= 0 or source.location == need.location:
-                continue
-            out.append((need.product_id, source.location, need.location, qty, available, source.reserve, promised[source.location], need.committed_in))
-            free[source.location] -= qty
-            promised[source.location] += qty
-            missing = _step(missing - qty, decimals, "nearest")
-    return pd.DataFrame(out, columns=[c.split()[0] for c in ALLOCATION.split(", ")])
+def allocated(rows: DataFrame) -> DataFrame:
+    """Free stock given to needs, product by product; one row per movement.
+
+    The needs of a product are folded in order of urgency over what its sources have given so far. For one need, the sources
+    (own region first, then by kind and stock) are folded in turn over what is still missing. Both lists hold a product's
+    locations, never its lines; all steps are array expressions.
+    """
+    c = F.col
+    urgency = F.when(c("criticality") == "out_of_stock", 0).when(c("criticality") == "critical", 1).when(c("criticality") == "reorder", 2)
+    decimals = F.first("decimals").alias("decimals")
+    rows = rows.withColumn("decimals", unit_decimals(c("unit")))
+    asked = rows.filter(urgency.isNotNull() & (c("suggested") > 0)).select("product_id", "decimals", F.struct(
+        c("stockout_day").isNull().alias("never"), "stockout_day", urgency.alias("urgency"), (-c("suggested")).alias("less"), "location", "region",
+        round_unit(F.greatest(F.lit(0.0), c("suggested") - c("committed_in")), c("decimals"), "up").alias("missing"), "committed_in").alias("need"))
+    kind = F.when(c("is_dc"), 0).when(c("criticality") == "excess", 1).otherwise(2)
+    held = rows.filter(c("criticality").isin("excess", "ok", "no_movement", "source")).select("product_id", F.struct(
+        kind.alias("kind"), (-F.coalesce("projected_stock", F.lit(0.0))).alias("less"), "location", "region", "reserve", "committed_out",
+        (F.coalesce("projected_stock", F.lit(0.0)) - c("reserve") - c("committed_out")).alias("free")).alias("source"))
+    needs = asked.groupBy("product_id").agg(decimals, F.sort_array(F.collect_list("need")).alias("needs"))
+    sources = held.groupBy("product_id").agg(F.sort_array(F.collect_list("source")).alias("sources"))
+    met = needs.join(sources, "product_id")
+    digits, holders = c("decimals"), c("sources")
+    move = "struct<origin:string,destination:string,qty:double,free_before:double,reserve:double,committed_before:double,covered_before:double>"
+
+    def serve(state: Column, need: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(holders) - 1)
+        same = lambda i: F.coalesce(F.get(holders, i)["region"] == need["region"], F.lit(False))
+        turn = F.concat(F.filter(places, same), F.filter(places, lambda i: ~same(i)))
+
+        def take(so_far: Column, i: Column) -> Column:
+            source, given = F.get(holders, i), F.get(state["given"], i)
+            spare = round_unit(F.greatest(F.lit(0.0), source["free"] - given), digits, "down")
+            qty = F.when(source["location"] == need["location"], 0.0).otherwise(round_unit(F.least(so_far["missing"], spare), digits, "down"))
+            row = F.struct(source["location"].alias("origin"), need["location"].alias("destination"), qty.alias("qty"), spare.alias("free_before"), source["reserve"].alias("reserve"),
+                           (source["committed_out"] + given).alias("committed_before"), need["committed_in"].alias("covered_before")).cast(move)
+            return F.struct(round_unit(so_far["missing"] - qty, digits).alias("missing"), F.concat(so_far["moves"], F.array(row)).alias("moves"), F.concat(so_far["order"], F.array(i)).alias("order"))
+
+        start = F.struct(need["missing"].alias("missing"), F.array().cast(f"array<{move}>").alias("moves"), F.array().cast("array<int>").alias("order"))
+        served = F.aggregate(turn, start, take)
+        taken = F.transform(state["given"], lambda g, i: g + F.get(served["moves"], F.array_position(served["order"], i).cast("int") - 1)["qty"])
+        return F.struct(taken.alias("given"), F.concat(state["moves"], F.filter(served["moves"], lambda m: m["qty"] > 0)).alias("moves"))
+
+    nothing = F.struct(F.transform(holders, lambda s: F.lit(0.0)).alias("given"), F.array().cast(f"array<{move}>").alias("moves"))
+    moves = F.aggregate("needs", nothing, serve, lambda state: state["moves"])
+    return met.select("product_id", F.explode(moves).alias("m")).select("product_id", "m.*")
 
 
 def propose_transfers(local: DataFrame, cfg: SupplyConfig, committed_out: DataFrame | None = None, committed_in: DataFrame | None = None) -> DataFrame:
@@ -87,7 +93,7 @@ def propose_transfers(local: DataFrame, cfg: SupplyConfig, committed_out: DataFr
         else:
             rows = rows.join(table.select(*KEYS, F.col("qty").alias(name)), KEYS, "left").fillna(0.0, [name])
     columns = [*KEYS, "unit", "criticality", "suggested", "stockout_day", "projected_stock", "is_dc", "region", "reserve", "committed_out", "committed_in"]
-    moved = rows.select(*columns).groupBy("product_id").applyInPandas(allocate, ALLOCATION)
+    moved = allocated(rows.select(*columns))
     target = local.select("product_id", F.col("location").alias("destination"), "product", "unit", F.col("criticality").alias("destination_criticality"),
                           F.col("coverage").alias("coverage_before"), "stockout_day", "stockout_date", "need_date", "unit_cost")
     arrival = max(1, round(cfg.internal_lead_time))

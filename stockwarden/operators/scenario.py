@@ -106,26 +106,30 @@ def schedule_growth(local: DataFrame, forecast_rows: DataFrame, events: DataFram
     return _compare(rows, demand, flows, flows, 0.0, cfg)
 
 
-def preventive_transfers(plan: DataFrame, free: DataFrame, per_product: int = 2) -> DataFrame:
-    """Purchases that arrive after the network's stockout: the two most urgent places get the best source that can give."""
+def preventive_transfers(plan: DataFrame, free: DataFrame) -> DataFrame:
+    """Purchases that arrive after the network's stockout: needs in order of urgency are served from what others can spare.
+
+    Needs and sources of a product are laid end to end, as running sums; where a need's stretch meets a source's stretch, the
+    common length moves. So no source gives more than it has, and what one place gets no other is promised.
+    """
     c = F.col
     late = plan.filter("level = 'network' and suggested > 0 and in_time = false").select("product_id", c("stockout_date").alias("network_stockout"), c("arrival_date").alias("purchase_arrival"))
-    order = Window.partitionBy("product_id").orderBy(c("stockout_day").asc_nulls_last(), "location")
-    places = plan.filter((c("level") == "local") & c("criticality").isin("out_of_stock", "critical")).join(late, "product_id")
-    places = places.withColumn("rank", F.row_number().over(order)).filter((c("rank") <= per_product) & (c("suggested") > 0))
-    sources = free.filter(c("criticality").isin("excess", "ok", "source", "no_movement") & (c("free") > 0))
-    best = sources.groupBy("product_id").agg(F.max(F.struct("free", "location")).alias("s"))
-    moved = places.join(best, "product_id")
-    return moved.select("product_id", "product", c("s.location").alias("origin"), c("location").alias("destination"), F.least(c("suggested"), c("s.free")).alias("qty"),
-                        "network_stockout", "purchase_arrival", c("need_date").alias("needed_on"))
+    urgent = Window.partitionBy("product_id").orderBy(c("stockout_day").asc_nulls_last(), "location").rowsBetween(Window.unboundedPreceding, 0)
+    needs = plan.filter((c("level") == "local") & c("criticality").isin("out_of_stock", "critical") & (c("suggested") > 0)).join(late, "product_id")
+    needs = needs.withColumn("n_end", F.sum("suggested").over(urgent)).withColumn("n_start", c("n_end") - c("suggested"))
+    fullest = Window.partitionBy("product_id").orderBy(F.desc(F.round("free", 6)), F.desc("location")).rowsBetween(Window.unboundedPreceding, 0)
+    sources = free.filter(c("criticality").isin("excess", "ok", "source", "no_movement") & (c("free") > 0)).select("product_id", c("location").alias("origin"), "free")
+    sources = sources.withColumn("location", c("origin")).withColumn("s_end", F.sum("free").over(fullest)).withColumn("s_start", c("s_end") - c("free")).drop("location", "free")
+    moved = needs.join(sources, "product_id").withColumn("qty", F.least("n_end", "s_end") - F.greatest("n_start", "s_start")).filter(c("qty") > 1e-9)
+    return moved.select("product_id", "product", "origin", c("location").alias("destination"), "qty", "network_stockout", "purchase_arrival", c("need_date").alias("needed_on"))
 
 
-def low_confidence(plan: DataFrame, limit: int = 6) -> DataFrame:
+def low_confidence(plan: DataFrame, limit: int | None = None) -> DataFrame:
     from stockwarden.operators.replenish import ordered_plan
 
     c = F.col
     rows = plan.filter((c("level") == "local") & (c("confidence") == "low") & c("criticality").isin("critical", "reorder", "out_of_stock"))
-    return ordered_plan(rows).limit(limit)
+    return ordered_plan(rows) if limit is None else ordered_plan(rows).limit(limit)
 
 
 def forecast_errors(forecast_rows: DataFrame, lines: DataFrame, as_of) -> DataFrame:

@@ -16,14 +16,42 @@ def test_hypotheses_follow_the_evidence(spark):
         "fingerprint string, methods array<string>, scale_ok boolean, scale_off boolean, no_doctor boolean, odd_day boolean, foreign_lot boolean")
     got = evidence.rank_hypotheses(rows).collect()
     first = {r["fingerprint"]: r for r in got if r["rank"] == 1}
-    assert first["f1"]["hypothesis"].startswith("manual capture below real use") and first["f1"]["in_favour"] == 2 and first["f1"]["plausibility"] == "high"
-    assert first["f2"]["hypothesis"].startswith("transfer between units") and first["f2"]["plausibility"] == "high"
-    lots = [r for r in got if r["fingerprint"] == "f2" and r["hypothesis"] == "wrong lot selected at capture"]
-    assert len(lots) == 1 and lots[0]["plausibility"] == "low"
-    assert first["f3"]["hypothesis"].startswith("longer or more complex surgery")
+    assert first["f1"]["hypothesis"] == evidence.CAUSES["loss"][0] and first["f1"]["in_favour"] == 1 and first["f1"]["plausibility"] == "high"
+    assert first["f2"]["hypothesis"] == evidence.CAUSES["move"][0] and first["f2"]["plausibility"] == "high"
+    entry = [r for r in got if r["fingerprint"] == "f2" and r["hypothesis"] == evidence.CAUSES["capture"][0]]
+    assert len(entry) == 1 and entry[0]["plausibility"] == "low"
+    assert first["f3"]["hypothesis"] == evidence.CAUSES["surgery"][0]
     assert sum(r["fingerprint"] == "f3" for r in got) == 3
 
 
+def test_an_installation_brings_its_own_hypotheses(spark):
+    rows = spark.createDataFrame([("f", ["R01_OVER_CONTAINER"], False, True, False, False, False)],
+                                 "fingerprint string, methods array<string>, scale_ok boolean, scale_off boolean, no_doctor boolean, odd_day boolean, foreign_lot boolean")
+    own = spark.createDataFrame([(0, "R01_OVER_CONTAINER", "first", "a", ""), (1, "R01_OVER_CONTAINER", "second", "b", "capture,loss")], "position int, rule string, hypothesis string, check string, about string")
+    got = sorted((r["rank"], r["hypothesis"], r["in_favour"]) for r in evidence.rank_hypotheses(rows, own).collect())
+    assert got == [(1, "second", 2), (2, "first", 0)]
+
+
+def test_targets_outlast_forty_investigations(spark):
+    finding = "fingerprint string, methods array<string>, case_no string, product_id bigint, product string, hospital string, technician string, doctor string, lot string, sublocation string, ts timestamp_ntz, qty double, severity string, risk_amount double, line_id string"
+    found = spark.createDataFrame([(f"f{k}", ["R01_OVER_CONTAINER"], f"C{k}", 1, "p", "h", "t", "d", "l", "s", datetime(2026, 7, 1), 1.0, "high", 1000.0 - k, str(k)) for k in range(200)], finding)
+    pattern = "rule string, product_id bigint, key string, dimension string, product string, hospital string, actor string, severity string, risk_amount double, score double"
+    known = spark.createDataFrame([(f"f{k}",) for k in range(40)], "fingerprint string")
+    none = spark.createDataFrame([], pattern)
+    assert evidence.targets(found, none, known).count() == 160
+    assert sorted(r["fingerprint"] for r in evidence.targets(found, none, known, 8).collect()) == sorted(f"f{k}" for k in range(40, 48))
+
+
+def test_no_origin_gives_more_than_it_has(spark):
+    plan = spark.createDataFrame(
+        [("network", 1, "p", "ALL", "reorder", 200.0, 3, False, date(2026, 8, 4), date(2026, 8, 9), None)]
+        + [("local", 1, "p", place, "critical", need, day, True, None, None, date(2026, 8, 2)) for place, need, day in (("A", 80.0, 1), ("B", 90.0, 2), ("X", 10.0, 3))],
+        "level string, product_id bigint, product string, location string, criticality string, suggested double, stockout_day int, in_time boolean, stockout_date date, arrival_date date, need_date date")
+    free = spark.createDataFrame([(1, "C", "excess", 100.0), (1, "D", "ok", 60.0)], "product_id bigint, location string, criticality string, free double")
+    got = sorted((r["origin"], r["destination"], r["qty"]) for r in scenario.preventive_transfers(plan, free).collect())
+    assert got == [("C", "A", 80.0), ("C", "B", 20.0), ("D", "B", 60.0)]
+
+
 TARGET = "fingerprint string, kind string, methods array<string>, dimension string, key string, case_no string, product_id bigint, product string, hospital string, technician string, doctor string, lot string, sublocation string, ts timestamp_ntz, severity string"
 
 

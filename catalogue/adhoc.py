@@ -41,11 +41,11 @@ def _(t):
 
 
 @query("S21_query_consumption", """
-SELECT lot, sum(qty) AS qty, sum(amount) AS amount, count(DISTINCT case_no) AS cases, count(*) AS lines FROM {consumption} WHERE lower(product) LIKE '%volatile%' GROUP BY 1 ORDER BY qty DESC, lot LIMIT 200""",
+SELECT lot, sum(qty) AS qty, sum(amount) AS amount, count(DISTINCT case_no) AS cases, count(*) AS lines FROM {consumption} WHERE lower(product) LIKE '%volatile%' GROUP BY 1""",
        "qty amount:2")
 def _(t):
     rows = adhoc.group_lines(t.consumption.filter(contains_text("VOLATILE", F.col("product"))), ["lot"])
-    return rows.orderBy(F.desc("qty"), "lot").limit(200)
+    return rows.orderBy(F.desc("qty"), "lot")
 
 
 @query("A05_overview", "SELECT count(*) AS lines, count(DISTINCT case_no) AS cases, count(DISTINCT product_id) AS products, count(DISTINCT hospital) AS hospitals, sum(qty) AS qty, sum(amount) AS amount FROM {consumption}",

@@ -204,16 +204,16 @@ def _(t):
     return rules.all_hits(prepared(t), cuts_of(t), off).groupBy("method").agg(F.count("*").alias("n"))
 
 
-@query("O01_top_findings", "SELECT line_id, round(score, 6) AS score, round(risk_amount, 4) AS risk_amount FROM {findings} ORDER BY 2 DESC, 3 DESC, 1 LIMIT 100", "score risk_amount:4")
+@query("O01_top_findings", "SELECT line_id, round(score, 6) AS score, round(risk_amount, 4) AS risk_amount FROM {findings}", "score risk_amount:4")
 def _(t):
     rows = findings_of(t).select("line_id", F.round("score", 6).alias("score"), F.round("risk_amount", 4).alias("risk_amount"))
-    return fuse.ranked(rows).limit(100)
+    return fuse.ranked(rows)
 
 
-@query("O04_finding_listing", "SELECT line_id, severity, round(score, 6) AS score FROM {findings} WHERE severity = 'high' ORDER BY 3 DESC, 1 LIMIT 200", "score")
+@query("O04_finding_listing", "SELECT line_id, severity, round(score, 6) AS score FROM {findings} WHERE severity = 'high'", "score")
 def _(t):
     rows = findings_of(t).filter("severity = 'high'").select("line_id", "severity", F.round("score", 6).alias("score"))
-    return rows.orderBy(F.desc("score"), "line_id").limit(200)
+    return rows.orderBy(F.desc("score"), "line_id")
 
 
 @query("A13_scale_summary", """
@@ -327,16 +327,16 @@ def _(t):
     return patterns_of(t).groupBy("rule", "dimension").agg(F.count("*").alias("n"))
 
 
-@query("O01_ranked_patterns", "SELECT rule, key, score, round(risk_amount, 3) AS risk_amount FROM {patterns} ORDER BY 3 DESC, 4 DESC, 1, 2 LIMIT 20", "score:2 risk_amount:3")
+@query("O01_ranked_patterns", "SELECT rule, key, score, round(risk_amount, 3) AS risk_amount FROM {patterns}", "score:2 risk_amount:3")
 def _(t):
     rows = patterns_of(t).select("rule", "key", "score", F.round("risk_amount", 3).alias("risk_amount"))
-    return rows.orderBy(F.desc("score"), F.desc("risk_amount"), "rule", "key").limit(20)
+    return rows.orderBy(F.desc("score"), F.desc("risk_amount"), "rule", "key")
 
 
-@query("D13_pattern_alerts", "SELECT rule, key, severity FROM {patterns} WHERE severity IN ('critical', 'high') ORDER BY score DESC, round(risk_amount, 3) DESC, rule, key LIMIT 12")
+@query("D13_pattern_alerts", "SELECT rule, key, severity FROM {patterns} WHERE severity IN ('critical', 'high')")
 def _(t):
     rows = patterns_of(t).filter("severity in ('critical', 'high')")
-    return rows.orderBy(F.desc("score"), F.desc(F.round("risk_amount", 3)), "rule", "key").limit(12).select("rule", "key", "severity")
+    return rows.orderBy(F.desc("score"), F.desc(F.round("risk_amount", 3)), "rule", "key").select("rule", "key", "severity")
 
 
 _POINTS = "CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 5 WHEN 'medium' THEN 2 ELSE 1 END"

@@ -33,8 +33,8 @@ CTES["targets"] = """
 SELECT * FROM (
   SELECT * FROM (SELECT 'pattern|' || rule || '|' || coalesce(CAST(product_id AS VARCHAR), 'None') || '|' || key AS fingerprint, 'pattern' AS kind, rule AS methods, dimension, key, NULL AS case_no, product_id, product, hospital,
     CASE WHEN dimension = 'technician' THEN actor END AS technician, CASE WHEN dimension = 'doctor' THEN actor END AS doctor, NULL AS lot, CASE WHEN dimension = 'sublocation' THEN key END AS sublocation, NULL::TIMESTAMP AS ts, severity, risk_amount, 0 AS tier
-    FROM {patterns} WHERE severity IN ('critical', 'high') ORDER BY score DESC, risk_amount DESC, rule, key LIMIT 6)
-  UNION ALL SELECT * FROM (SELECT fingerprint, 'finding', methods, NULL, NULL, case_no, product_id, product, hospital, technician, doctor, lot, sublocation, ts, severity, risk_amount, 1 FROM {findings} WHERE severity IN ('critical', 'high') ORDER BY risk_amount DESC, line_id LIMIT 96))
+    FROM {patterns} WHERE severity IN ('critical', 'high'))
+  UNION ALL SELECT * FROM (SELECT fingerprint, 'finding', methods, NULL, NULL, case_no, product_id, product, hospital, technician, doctor, lot, sublocation, ts, severity, risk_amount, 1 FROM {findings} WHERE severity IN ('critical', 'high')))
 WHERE fingerprint NOT IN (SELECT fingerprint FROM {findings} WHERE severity = 'high') ORDER BY tier, risk_amount DESC, fingerprint LIMIT 24
 """
 
@@ -150,7 +150,7 @@ def _(t):
     return evidence.applicable_clarifications(targets_of(t), notes).select("fingerprint", "note_id")
 
 
-@query("D14_active_notes", "SELECT note_id, scope, key FROM {notes} WHERE active AND scope = 'actor' ORDER BY note_id DESC LIMIT 500")
+@query("D14_active_notes", "SELECT note_id, scope, key FROM {notes} WHERE active AND scope = 'actor'")
 def _(t):
     return evidence.active_notes(t._view(CTES["notes"]), "actor").select("note_id", "scope", "key")
 

@@ -48,15 +48,15 @@ _KIND = "CASE kind WHEN 'transfer' THEN 0 WHEN 'purchase' THEN 1 WHEN 'reorder_r
 _PENDING = "status IN ('proposed', 'partly_approved', 'needs_review')"
 
 
-@query("O07_decision_order", f"SELECT id FROM {{proposals}} WHERE {_PENDING} ORDER BY coalesce(needed_on - DATE '2001-08-01', 999), {_CRIT}, {_KIND}, amount DESC, id LIMIT 300")
+@query("O07_decision_order", f"SELECT id FROM {{proposals}} WHERE {_PENDING}")
 def _(t):
     rows = ledger.with_priority(ledger.pending(t.proposals), CFG.as_of)
-    return rows.orderBy(*ledger.decision_order(rows)).limit(300).select("id")
+    return rows.orderBy(*ledger.decision_order(rows)).select("id")
 
 
 @query("A32_decision_groups", f"""
 SELECT title, count(*) AS proposals, sum(amount) AS amount, CAST(least(9, min(d), min(c) + 10) AS INT) AS urgency, CAST(least(999, min(d)) AS INT) AS days_to_need, ['low', 'medium', 'high'][max(r)] AS highest_risk FROM (
-  SELECT * EXCLUDE (title), CASE kind WHEN 'transfer' THEN 'Transfers to ' || destination WHEN 'purchase' THEN 'Supplier purchases' WHEN 'reorder_rule' THEN 'Min/max rules' WHEN 'quarantine' THEN 'Lot quarantines' WHEN 'alert' THEN 'Internal alerts' ELSE kind END AS title,
+  SELECT * EXCLUDE (title), CASE kind WHEN 'transfer' THEN 'transfer: ' || destination ELSE kind END AS title,
          coalesce(needed_on - DATE '2001-08-01', 999) AS d, {_CRIT} AS c, CASE risk WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS r FROM {{proposals}} WHERE {_PENDING}) GROUP BY 1""", "amount:2")
 def _(t):
     return ledger.decision_groups(ledger.with_priority(ledger.pending(t.proposals), CFG.as_of))
@@ -299,16 +299,19 @@ def _(t):
 
 
 @query("F26_preventive_transfers", """
-SELECT d.product_id, s.location AS origin, d.location AS destination, least(d.suggested, s.free) AS qty FROM (
-  SELECT u.*, row_number() OVER (PARTITION BY u.product_id ORDER BY u.stockout_day NULLS LAST, u.location) AS rn FROM {wh_used} u WHERE u.criticality IN ('out_of_stock', 'critical')
-    AND u.product_id IN (SELECT product_id FROM {network} WHERE suggested > 0 AND ceil(lead_time) > stockout_day)) d
-JOIN (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY round(free, 6) DESC, location DESC) AS rn FROM {free_stock} WHERE criticality IN ('excess', 'ok', 'source', 'no_movement') AND free > 0) s ON s.product_id = d.product_id AND s.rn = 1
-WHERE d.rn <= 2 AND d.suggested > 0""", "qty")
+WITH d AS (
+  SELECT u.product_id, u.location, sum(u.suggested) OVER (PARTITION BY u.product_id ORDER BY u.stockout_day NULLS LAST, u.location ROWS UNBOUNDED PRECEDING) AS n_end, u.suggested FROM {wh_used} u
+  WHERE u.criticality IN ('out_of_stock', 'critical') AND u.suggested > 0 AND u.product_id IN (SELECT product_id FROM {network} WHERE suggested > 0 AND ceil(lead_time) > stockout_day)),
+s AS (
+  SELECT product_id, location, free, sum(free) OVER (PARTITION BY product_id ORDER BY round(free, 6) DESC, location DESC ROWS UNBOUNDED PRECEDING) AS s_end FROM {free_stock}
+  WHERE criticality IN ('excess', 'ok', 'source', 'no_movement') AND free > 0)
+SELECT d.product_id, s.location AS origin, d.location AS destination, least(n_end, s_end) - greatest(n_end - suggested, s_end - free) AS qty FROM d JOIN s USING (product_id)
+WHERE least(n_end, s_end) - greatest(n_end - suggested, s_end - free) > 1e-9""", "qty")
 def _(t):
     return scenario.preventive_transfers(wh_plan(t), _free(t)).select("product_id", "origin", "destination", "qty")
 
 
-@query("F26_low_confidence_rows", "SELECT product_id, location FROM (SELECT * FROM {plan} WHERE level = 'local' AND confidence = 'low' AND criticality IN ('critical', 'reorder', 'out_of_stock') ORDER BY CASE criticality WHEN 'out_of_stock' THEN 0 WHEN 'critical' THEN 1 ELSE 2 END, coverage NULLS LAST, product_id, location LIMIT 6)")
+@query("F26_low_confidence_rows", "SELECT product_id, location FROM (SELECT * FROM {plan} WHERE level = 'local' AND confidence = 'low' AND criticality IN ('critical', 'reorder', 'out_of_stock'))")
 def _(t):
     return scenario.low_confidence(wh_plan(t)).select(*KEYS)
 

@@ -40,12 +40,14 @@ def search_lines(lines: DataFrame, text: str) -> DataFrame:
     return lines.filter(contains_text(text, *[F.col(c) for c in TEXT_COLUMNS if c in lines.columns]))
 
 
-def query_consumption(lines: DataFrame, text: str = "", group_by: list[str] | None = None, limit: int = 200) -> DataFrame:
+def query_consumption(lines: DataFrame, text: str = "", group_by: list[str] | None = None, limit: int | None = None) -> DataFrame:
     """Text filter, then grouped totals or the newest lines."""
     rows = search_lines(lines, text) if text.strip() else lines
     if group_by:
-        return group_lines(rows, group_by).limit(limit)
-    return rows.orderBy(F.desc("ts"), "line_id").limit(limit)
+        out = group_lines(rows, group_by)
+    else:
+        out = rows.orderBy(F.desc("ts"), "line_id")
+    return out if limit is None else out.limit(limit)
 
 
 def overview(lines: DataFrame) -> DataFrame:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockwarden.config import CLASS_POLICY, SupplyConfig
+from stockwarden.config import SupplyConfig
 from stockwarden.functions.dates import week_ending_sunday
 from stockwarden.operators.series import KEYS
 
 
-def abc_xyz(lines: DataFrame, end: Column, days: int = 365) -> DataFrame:
+def abc_xyz(lines: DataFrame, end: Column, days: int = 365, policies: dict[str, str] | None = None) -> DataFrame:
     """Value share over the last year and weekly variation; weeks without use inside a product's span count as zero.
 
-    The item that crosses 80 % is B. The ordered running share works on one row per product.
+    `policies` has the installation's text per class; a class without one is its own policy. The item that crosses 80 % is B. The ordered running share works on one row per product.
     """
     c = F.col
     recent = lines.withColumn("_end", end).filter(c("ts") > c("_end") - F.make_dt_interval(F.lit(days)))
@@ -33,7 +33,8 @@ def abc_xyz(lines: DataFrame, end: Column, days: int = 365) -> DataFrame:
     abc = F.when(c("running") <= 0.80, "A").when(c("running") <= 0.95, "B").otherwise("C")
     xyz = F.when(F.round("cv", 2) < 0.5, "X").when(F.round("cv", 2) < 1.0, "Y").otherwise("Z")
     rows = rows.withColumns({"abc": abc, "xyz": xyz}).withColumn("class", F.concat("abc", "xyz"))
-    return rows.withColumn("policy", F.coalesce(*[F.when(c("class") == k, v) for k, v in CLASS_POLICY.items()]))
+    named = [F.when(c("class") == k, v) for k, v in (policies or {}).items()]
+    return rows.withColumn("policy", F.coalesce(*named, c("class")))
 
 
 def expiry_risk(stock: DataFrame, local: DataFrame, cfg: SupplyConfig, horizon: int = 180) -> DataFrame:

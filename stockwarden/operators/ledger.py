@@ -16,15 +16,9 @@ from stockwarden.operators.series import KEYS
 
 PLACES = ("origin", "destination", "location", "lot")
 
-# Order of criticalities and kinds in the decision list, and labels of decision groups.
+# Order of criticalities and kinds in the decision list.
 URGENCY_RANK = {"out_of_stock": 0, "critical": 1, "reorder": 2}
 KIND_RANK = {"transfer": 0, "purchase": 1, "reorder_rule": 2, "activity": 3, "note": 4, "alert": 5}
-GROUP_LABELS = {
-    "purchase": "Supplier purchases", "reorder_rule": "Min/max rules", "quarantine": "Lot quarantines", "scrap": "Scrapping",
-    "count_request": "Physical counts", "supplier_reminder": "Supplier reminders", "reschedule": "Purchase rescheduling",
-    "confirm_transfer": "Transfers to confirm", "validate_receipt": "Receipts to validate", "adjust_lead_time": "Supplier lead times",
-    "activity": "Activities", "note": "Notes", "alert": "Internal alerts",
-}
 
 
 def with_key(proposals: DataFrame) -> DataFrame:
@@ -209,10 +203,7 @@ def decision_order(proposals: DataFrame) -> list[Column]:
 def decision_groups(prioritised: DataFrame) -> DataFrame:
     """Undecided proposals grouped by kind and destination, most urgent group first."""
     c = F.col
-    label = F.when(c("kind") == "transfer", F.concat(F.lit("Transfers to "), F.coalesce("destination", F.lit("?"))))
-    for kind, text in GROUP_LABELS.items():
-        label = label.when(c("kind") == kind, text)
-    label = label.otherwise(c("kind"))
+    label = F.when(c("kind") == "transfer", F.concat_ws(": ", "kind", F.coalesce("destination", F.lit("?")))).otherwise(c("kind"))
     days = F.coalesce("days_to_need", F.lit(999))
     risk = _lookup("risk", {"low": 0, "medium": 1, "high": 2}, 0)
     groups = prioritised.groupBy(label.alias("title")).agg(
@@ -282,7 +273,9 @@ def propose_from_plan(plan: DataFrame, transfers: DataFrame, classes: DataFrame,
 
 
 def within_run_limit(needs: DataFrame, policy: Policy) -> DataFrame:
-    """The run's limit on new proposals, transfers before purchases before rules; updates are not limited."""
+    """All proposals; with a limit of the policy only so many new ones, transfers before purchases before rules."""
+    if policy.max_per_run is None:
+        return needs
     c = F.col
     fresh = needs.filter(~c("reused")).orderBy(_lookup("kind", KIND_RANK, 9), _lookup("criticality", URGENCY_RANK, 5), F.desc("amount"), "key").limit(policy.max_per_run)
     return needs.filter("reused").unionByName(fresh)

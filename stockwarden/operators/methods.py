@@ -153,10 +153,10 @@ def wape(actual: Column, predicted: Column) -> Column:
 
 
 def rank_keys(series: DataFrame, cfg: SupplyConfig) -> DataFrame:
-    """The keys with most lines get every method on every fold; the rest one method on the last window.
-
-    Spark pushes the rank limit below the shuffle, and the ranked table has one row per key.
-    """
+    """Every key gets every method on every fold. Only if the caller sets `max_backtests`, the keys with fewest lines get one
+    method on the last window."""
+    if cfg.max_backtests is None:
+        return series.withColumn("full", F.lit(True))
     busiest = series.select(*KEYS, "lines").orderBy(F.desc("lines"), *KEYS).limit(max(1, cfg.max_backtests))
     return series.join(busiest.select(*KEYS, F.lit(True).alias("full")), KEYS, "left").withColumn("full", F.coalesce("full", F.lit(False)))
 

@@ -24,7 +24,7 @@ def _spread(df: DataFrame, keys: dict[str, Column], *columns: str) -> DataFrame:
     return df.select(*columns, F.explode(entries).alias("d")).select("d.*", *columns)
 
 
-def risk_index(found: DataFrame, patterns: DataFrame, lines: DataFrame, top: int = 25) -> DataFrame:
+def risk_index(found: DataFrame, patterns: DataFrame, lines: DataFrame, top: int | None = None) -> DataFrame:
     c = F.col
     line_part = _spread(found, {d: c(d) for d in DIMENSIONS}, "severity", "risk_amount").select(
         "dimension", "key", _points(c("severity")).alias("points"), "risk_amount", (c("severity") == "critical").alias("critical"),
@@ -50,4 +50,6 @@ def risk_index(found: DataFrame, patterns: DataFrame, lines: DataFrame, top: int
     rows = rows.withColumns({
         "index": F.round(F.when(c("critical_pattern"), F.greatest(base, F.lit(65.0))).otherwise(base), 1),
         "risk_pct": F.when(c("total_amount") != 0, 100 * c("risk_amount") / c("total_amount")).otherwise(0.0)})
-    return top_per_group(rows, ["dimension"], [F.desc("index"), F.desc("risk_amount"), c("key")], top).drop("critical_pattern")
+    if top is not None:
+        rows = top_per_group(rows, ["dimension"], [F.desc("index"), F.desc("risk_amount"), c("key")], top)
+    return rows.drop("critical_pattern")

@@ -58,18 +58,19 @@ def condition(terms: list) -> Column:
 
 
 def query_table(df: DataFrame, name: str, terms: list | None = None, fields: list[str] | None = None,
-                order: list[Column] | None = None, limit: int = 100, group_by: list[str] | None = None,
+                order: list[Column] | None = None, limit: int | None = None, group_by: list[str] | None = None,
                 sums: list[str] | None = None) -> DataFrame:
-    """Filtered projection of a table, or grouped sums with a record count; guarded columns never leave."""
+    """Filtered projection of a table, or grouped sums with a record count; guarded columns never leave. No limit but the caller's."""
     check_table(name)
     rows = df.filter(condition(terms)) if terms else df
     keys = [c for c in group_by or [] if not is_guarded(c)]
     if keys:
         totals = [F.sum(c).alias(c) for c in sums or [] if not is_guarded(c)]
-        return rows.groupBy(*keys).agg(*totals, F.count("*").alias("records")).orderBy(*keys).limit(min(limit, 2000))
+        grouped = rows.groupBy(*keys).agg(*totals, F.count("*").alias("records")).orderBy(*keys)
+        return grouped if limit is None else grouped.limit(limit)
     chosen = [c for c in fields or [] if not is_guarded(c)] or ["display_name"]
     rows = rows.select(*chosen) if not order else rows.orderBy(*order).select(*chosen)
-    return rows.limit(min(limit, 500))
+    return rows if limit is None else rows.limit(limit)
 
 
 def append_run(df: DataFrame, run_id: int, path: str) -> None:
@@ -99,11 +100,11 @@ def parse_json(df: DataFrame, **schemas: T.DataType | str) -> DataFrame:
     return df.withColumns({c: F.from_json(F.col(c), s, {"mode": "PERMISSIVE"}) for c, s in schemas.items()})
 
 
-def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet", max_rows: int = 1_000_000) -> DataFrame:
-    """One folder per table plus a manifest that says whether a table was cut at `max_rows`.
+def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet", max_rows: int | None = None) -> DataFrame:
+    """One folder per table plus a manifest that says whether a table is complete.
 
-    Each table is written once; its own row count is an observation of that write, so nothing is scanned twice
-    unless the limit is reached.
+    Each table is written once and whole; its row count is an observation of that write. Only a caller's `max_rows` cuts, and
+    then the manifest has the full count too.
     """
     from pyspark.sql import Observation
 
@@ -112,11 +113,11 @@ def write_report(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
     manifest = []
     for name, df in tables.items():
         seen = Observation(f"rows of {name}")
-        bounded = df.limit(max_rows).observe(seen, F.count(F.lit(1)).alias("n"))
+        bounded = (df if max_rows is None else df.limit(max_rows)).observe(seen, F.count(F.lit(1)).alias("n"))
         writer = bounded.write.mode("overwrite")
         (writer.option("header", "true").csv if fmt == "csv" else writer.parquet)(f"{path}/{name}")
         written = seen.get["n"]
-        total = written if written < max_rows else df.count()
+        total = written if max_rows is None or written < max_rows else df.count()
         manifest.append((name, written, total, written == total))
     out = spark.createDataFrame(manifest, "name string, rows_written bigint, rows_total bigint, complete boolean")
     out.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from stockwarden.operators import quantiles as Q
 
@@ -14,11 +15,10 @@ def skewed(spark):
     return pd.concat([hot, cold, same])
 
 
-@pytest.mark.parametrize("buffered", [False, True])
-def test_matches_linear_interpolation(spark, skewed, buffered):
+def test_matches_linear_interpolation(spark, skewed):
     probs = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
     counts = Q.value_counts(spark.createDataFrame(skewed), ["k"], "v")
-    got = Q.quantiles_of_counts(counts, ["k"], "v", probs, buffered).toPandas().set_index("k")
+    got = Q.quantiles_of_counts(counts, ["k"], "v", probs).toPandas().set_index("k")
     for key, group in skewed.groupby("k"):
         assert got.loc[key, "total"] == len(group)
         for name, p in probs.items():
@@ -29,4 +29,12 @@ def test_single_row_and_weights(spark):
     df = spark.createDataFrame([("a", 2.0, 3), ("a", 5.0, 1), ("b", -1.0, 1)], "k string, v double, w bigint")
     got = {r["k"]: r for r in Q.grouped_quantiles(df, ["k"], "v", {"m": 0.5}, weight="w").collect()}
     assert got["a"]["m"] == 2.0 and got["a"]["total"] == 4 and got["b"]["m"] == -1.0
-    assert Q.widest_group(Q.value_counts(df, ["k"], "v"), ["k"]) == 2
+
+
+def test_no_task_orders_more_than_a_small_share_of_a_hot_key(spark):
+    rows = spark.range(2_000_000).select(F.lit("hot").alias("k"), (0.4 + 0.4 * F.col("id") / 2_000_000).alias("v"))
+    counts = Q.value_counts(rows, ["k"], "v")
+    widest = counts.groupBy(Q._bucket(F.col("v")).alias("b")).count().agg(F.max("count")).first()[0]
+    assert widest < 2_000
+    got = Q.quantiles_of_counts(counts, ["k"], "v", {"m": 0.5}).first()
+    assert got["total"] == 2_000_000 and got["m"] == pytest.approx(0.6, abs=1e-6)

@@ -7,21 +7,28 @@ from pyspark.sql import functions as F
 
 from stockwarden.config import SupplyConfig
 from stockwarden.functions.dates import week_ending_sunday
+from stockwarden.operators.quantiles import value_step
 from stockwarden.operators.series import KEYS
 
 
 def abc_xyz(lines: DataFrame, end: Column, days: int = 365, policies: dict[str, str] | None = None) -> DataFrame:
     """Value share over the last year and weekly variation; weeks without use inside a product's span count as zero.
 
-    `policies` has the installation's text per class; a class without one is its own policy. The item that crosses 80 % is B. The ordered running share works on one row per product.
+    `policies` has the installation's text per class; a class without one is its own policy. The item that crosses 80 % is B. The running share is exact.
     """
     c = F.col
     recent = lines.withColumn("_end", end).filter(c("ts") > c("_end") - F.make_dt_interval(F.lit(days)))
     value = recent.groupBy("product_id").agg(F.min("product").alias("product"), F.sum("amount").alias("amount"))
-    everything = Window.partitionBy()
-    by_value = Window.orderBy(F.desc("amount"), "product_id").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = value.withColumn("share", F.coalesce(F.try_divide(c("amount"), F.sum("amount").over(everything)), F.lit(0.0)))
-    ranked = ranked.withColumn("running", F.sum("share").over(by_value))
+    # Running shares without ordering all products in one task: totals by narrow steps of the amount run first (as many rows
+    # as there are steps, whatever the number of products), then the products of each step on their own.
+    value = value.withColumn("step", -value_step(c("amount")))
+    steps = value.groupBy("step").agg(F.sum("amount").alias("of_step"))
+    upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumns({"before": F.coalesce(F.sum("of_step").over(upto), F.lit(0.0)), "whole": F.sum("of_step").over(Window.partitionBy())}).drop("of_step")
+    inside = Window.partitionBy("step").orderBy(F.desc("amount"), "product_id").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = value.join(steps, value.step.eqNullSafe(steps.step)).drop(steps.step)
+    share = lambda amount: F.coalesce(F.try_divide(amount, c("whole")), F.lit(0.0))
+    ranked = ranked.withColumns({"share": share(c("amount")), "running": share(c("before") + F.sum("amount").over(inside))}).drop("step", "before", "whole")
     weeks = recent.groupBy("product_id", week_ending_sunday(c("ts")).alias("week")).agg(F.sum("qty").alias("q"))
     spread = weeks.groupBy("product_id").agg(
         (F.datediff(F.max("week"), F.min("week")) / 7 + 1).alias("n"), F.sum("q").alias("s"), F.stddev_pop("q").alias("sd"), F.count("*").alias("k"))

@@ -15,7 +15,7 @@ _BUCKETS_PER_OCTAVE = 4096
 _RESOLUTION = 1e6
 
 
-def _bucket(value: Column) -> Column:
+def value_step(value: Column) -> Column:
     """Order-preserving bucket about 0.02 % wide, the same for every group."""
     size = F.floor(F.log2(1.0 + F.abs(value) * _RESOLUTION) * _BUCKETS_PER_OCTAVE)
     return F.when(value < 0, -size).otherwise(size)
@@ -28,7 +28,7 @@ def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None
 
 def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles of a (keys, value, n) table: one row per key with `total` and each named quantile."""
-    bucketed = counts.withColumn("_bucket", _bucket(F.col(value)))
+    bucketed = counts.withColumn("_bucket", value_step(F.col(value)))
     totals = bucketed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_size"))
     per_key = Window.partitionBy(*keys)
     running = per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -21,10 +21,16 @@ def consumption_report(run: dict[str, DataFrame], path: str, fmt: str = "parquet
     return write_report(tables, path, fmt)
 
 
-def supply_report(run: dict[str, DataFrame], path: str, fmt: str = "parquet") -> DataFrame:
-    """Local plan, network purchases, late deliveries, transfers, expiries, classes, daily forecast by product and history."""
+def supply_report(run: dict[str, DataFrame], path: str, fmt: str = "parquet", columns: list[str] | None = None) -> DataFrame:
+    """Local plan, network purchases, late deliveries, transfers, expiries, classes, daily forecast by product and history.
+
+    The daily forecast by product has a row per day and product; with `columns` (products as named here) it has a column each.
+    """
     plan, forecasts = run["plan"], run["forecasts"]
     named = forecasts.withColumn("item", F.regexp_replace("product", r"[ ,;{}()\n\t=]+", "_"))
+    by_day = named.groupBy("day", "item").agg(F.sum("projected").alias("projected"))
+    if columns is not None:
+        by_day = named.groupBy("day").pivot("item", columns).agg(F.sum("projected"))
     tables = {
         "local_plan": ordered_plan(plan.filter("level = 'local'")),
         "purchases": plan.filter("level = 'network' and suggested > 0"),
@@ -32,7 +38,7 @@ def supply_report(run: dict[str, DataFrame], path: str, fmt: str = "parquet") ->
         "transfers": run["transfers"],
         "expiries": run["expiries"],
         "abc_xyz": run["abc_xyz"],
-        "daily_by_product": named.groupBy("day").pivot("item").agg(F.sum("projected")),
+        "daily_by_product": by_day,
         "forecast_detail": forecasts,
         "monthly": run["monthly"],
         "monthly_by_unit": run["monthly_by_unit"],

@@ -42,6 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="stockwarden-"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at `path` in whatever store it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write `df` once and read it back.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stockwarden.session import materialize
+from stockwarden.session import exists, materialize
 
 BUCKETS = 64
 
@@ -30,13 +30,10 @@ def merge_batch(batch: DataFrame, path: str, key: str, order: list[str], buckets
     touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
     if not touched:
         return
-    try:
+    merged = fresh
+    if exists(spark, path):
         stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
         merged = newest(stored.select(*fresh.columns).unionByName(fresh), key, order)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        merged = fresh
     # written aside first: the buckets being replaced are also being read
     ready = materialize(merged, "merge")
     ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

@@ -81,16 +81,10 @@ def unseen_alerts(alerts: DataFrame, memory: DataFrame, as_of: date, keep_days:
 
 def raise_alerts(alerts: DataFrame, memory_path: str, as_of: date, keep_days: int = 90) -> int:
     """Append the alerts not yet raised and return how many there were."""
-    from stockwarden.session import materialize
+    from stockwarden.session import exists, materialize
 
     spark: SparkSession = alerts.sparkSession
-    try:
-        memory = spark.read.parquet(memory_path)
-        fresh = unseen_alerts(alerts, memory, as_of, keep_days)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        fresh = alerts
+    fresh = unseen_alerts(alerts, spark.read.parquet(memory_path), as_of, keep_days) if exists(spark, memory_path) else alerts
     ready = materialize(fresh.withColumn("raised_on", F.lit(as_of)), "alerts")
     ready.write.mode("append").parquet(memory_path)
     return ready.count()

@@ -49,7 +49,12 @@ def test_network_is_the_sum_of_locations(supply):
 def test_supply_report(spark, supply, tmp_path):
     manifest = {r["name"]: r for r in supply_report(supply, str(tmp_path)).collect()}
     assert all(r["complete"] for r in manifest.values()) and len(manifest) == 13
-    assert spark.read.parquet(str(tmp_path / "daily_by_product")).count() == CFG.horizon
+    daily = spark.read.parquet(str(tmp_path / "daily_by_product"))
+    assert daily.select("day").distinct().count() == CFG.horizon and daily.count() == daily.select("day", "item").distinct().count()
+    items = [r["item"] for r in daily.select("item").distinct().collect()]
+    supply_report(supply, str(tmp_path / "wide"), columns=items)
+    wide = spark.read.parquet(str(tmp_path / "wide" / "daily_by_product"))
+    assert wide.count() == CFG.horizon and set(items) < set(wide.columns)
 
 
 def test_committed_stock_is_not_given_twice(spark, tables, supply):

@@ -32,9 +32,9 @@ from pyspark.sql.functions import pandas_udf
 from stockwarden.session import materialize
 
 CAPACITY, END = 4096, 1
-GROUPS = 48
-#: Lengths above this share of the capacity are large.
-LARGE = 1 / 12
+GROUPS = 256
+#: Lengths above this share of the capacity are large: at most two share a sequence, so configurations stay few.
+LARGE = 1 / 3
 #: Pieces that one task numbers.
 NUMBERED = 250_000
 #: Words whose ids a worker remembers in each of two generations; the ids of a word never depend on its neighbours.

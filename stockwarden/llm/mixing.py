@@ -75,15 +75,24 @@ def mixed(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tu
 
 
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, weights: tuple[int, ...] = WEIGHTS, salt: str = "mix") -> DataFrame:
-    """The mixed corpus: every row of `docs` as many times as the mix takes it, with the columns of `docs`."""
-    row = fresh(docs, "row")
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mixing-rows")
+    """The mixed corpus: every row of `docs` as many times as the mix takes it, with the columns of `docs`.
+
+    Rows are known by a hash of id, text and source, so no copy of the texts is stored. Rows that repeat all three are one
+    document, which the mix takes as often as all of them together.
+    """
+    key, n, copies = fresh(docs, "key"), fresh(docs, "n"), fresh(docs, "copies")
+    keyed = F.xxhash64("doc_id", "text", "source")
     made = [c.alias(name) for name, c in _measured(docs, salt).items()]
-    slim = materialize(rows.select("doc_id", "source", *made, F.col(row).alias("row")), "mixing-sizes")
-    n, copies = fresh(rows, "n"), fresh(rows, "copies")
-    taken = _plan(slim, share, most, weights).where("copies > 0").select(F.col("row").alias(row), F.col("copies").cast("int").alias(copies))
-    repeated = rows.join(taken, row).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    return repeated.select(*docs.columns)
+    slim = materialize(docs.select("doc_id", "source", *made, keyed.alias("key"), F.monotonically_increasing_id().alias("row")), "mixing-sizes")
+    taken = _plan(slim, share, most, weights).groupBy(F.col("key").alias(key)).agg(F.sum("copies").cast("int").alias(copies))
+    taken = materialize(taken.where(F.col(copies) > 0), "mixing-copies")
+    rows = docs.withColumn(key, keyed).dropDuplicates([key, "doc_id"]) if _repeats(slim) else docs.withColumn(key, keyed)
+    return rows.join(taken, key).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+
+
+def _repeats(slim: DataFrame) -> bool:
+    """Whether any row is repeated; without repeats there is nothing to reduce before the join."""
+    return not slim.groupBy("key").count().where("count > 1").isEmpty()
 
 
 def _plan(slim: DataFrame, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:

@@ -200,11 +200,16 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row of each near-duplicate group: the smallest doc_id (null last; of repeated rows one). Columns stay."""
-    row, fp = fresh(docs, "row"), fresh(docs, "fp")
-    rows = materialize(docs.withColumns({fp: fingerprint(F.col(text)), row: F.monotonically_increasing_id()}), "simhash-rows")
-    rank = F.struct(F.col(doc_id).isNull().alias("missing"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
-    own = materialize(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(rank).alias("first")), "fingerprints-distinct")
-    kept = own.join(classes(own), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("kept_row"))
+    """`docs` with one row of each near-duplicate group: the smallest doc_id (null last; of repeated rows one). Columns stay.
+
+    Rows are known by a hash of id and text, so no copy of the texts is stored; they are shuffled once.
+    """
+    key, kept_key = fresh(docs, "key"), fresh(docs, "kept_key")
+    keyed = F.xxhash64(F.col(doc_id), F.col(text))
+    rows = materialize(docs.select(F.col(doc_id).alias("doc_id"), keyed.alias("key"), fingerprint(F.col(text)).alias("fp")), "simhash-rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")
+    own = materialize(rows.groupBy("fp").agg(F.min(rank).alias("first")), "fingerprints-distinct")
+    kept = own.join(classes(own), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(kept_key))
     kept = materialize(kept, "simhash-kept")
-    return rows.join(kept, F.col(row) == F.col("kept_row"), "left_semi").drop(row, fp)
+    met = docs.withColumn(key, keyed).join(kept, F.col(key) == F.col(kept_key), "left_semi")
+    return met.dropDuplicates([key, doc_id]).drop(key)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from catalogue.registry import CTES, query
 from stockwarden.functions.text import contains_text
 from stockwarden.operators import adhoc, history
+from stockwarden.session import shared_dir
+from stockwarden.sources.stock import usable_stock
 
 CTES["enriched"] = """
 SELECT *, hour(ts) AS hour, isodow(ts) - 1 AS weekday, isodow(ts) >= 6 AS weekend, hour(ts) >= 22 OR hour(ts) < 6 AS night, unit = 'mL' OR weighable AS volatile,
@@ -48,6 +53,30 @@ def _(t):
     return rows.orderBy(F.desc("qty"), "lot")
 
 
+def _answer(t, rows, text, by, sums=("qty",), fmt="parquet"):
+    return adhoc.exported(adhoc.question(rows, text, by, sums), f"{shared_dir(t.spark)}/answer-{uuid.uuid4().hex}", fmt)
+
+
+@query("S21_export_consumption", "SELECT technician, sum(qty) AS qty, sum(amount) AS amount, count(DISTINCT case_no) AS cases, count(*) AS lines FROM {consumption} WHERE lower(product) LIKE '%volatile%' GROUP BY 1", "qty amount:2")
+def _(t):
+    return _answer(t, t.consumption, "VOLATILE", ["employee"], ("qty", "amount"), "csv")
+
+
+@query("S21_export_stock", "SELECT warehouse, sum(qty) AS qty, sum(usable) AS usable, count(*) AS lines FROM {stock} WHERE lower(concat_ws(chr(1), product, location, warehouse, lot)) LIKE '%item 1%' GROUP BY 1", "qty usable")
+def _(t):
+    return _answer(t, usable_stock(t.quants, datetime(2001, 8, 1)), "Item 1", ["warehouse"], ("qty", "usable"))
+
+
+@query("S21_export_pending", "SELECT kind, ref, product_id, qty, to_location FROM {pending} WHERE lower(concat_ws(chr(1), supplier, ref)) LIKE '%po1%'", "qty")
+def _(t):
+    return _answer(t, t.pending, "PO1", None).select("kind", "ref", "product_id", "qty", "to_location")
+
+
+@query("S21_export_invoices", "SELECT customer, sum(qty) AS qty, sum(amount) AS amount, count(*) AS lines FROM {account_lines} WHERE lower(concat_ws(chr(1), customer, number)) LIKE '%customer#%' GROUP BY 1", "qty amount:2")
+def _(t):
+    return _answer(t, t.account_lines, "Customer#", ["customer"], ("qty", "amount"))
+
+
 @query("A05_overview", "SELECT count(*) AS lines, count(DISTINCT case_no) AS cases, count(DISTINCT product_id) AS products, count(DISTINCT hospital) AS hospitals, sum(qty) AS qty, sum(amount) AS amount FROM {consumption}",
        "qty amount:2")
 def _(t):

@@ -326,6 +326,26 @@ def _(t):
     return tables.write_report({"plan": replenish.ordered_plan(plan.filter("level = 'local'")), "purchases": plan.filter("level = 'network' and suggested > 0"), "late": t.pending.filter("late")}, path, "csv")
 
 
+@query("S18_report_contents", """
+SELECT 'findings' AS name, line_id AS key, score AS value FROM {findings} UNION ALL SELECT 'patterns', rule || '|' || key, score FROM {patterns} UNION ALL SELECT 'monthly', month, sum(amount) FROM {enriched} GROUP BY 2""", "value:1")
+def _(t):
+    from stockwarden.operators.history import monthly
+
+    path = f"{shared_dir(t.spark)}/report-{uuid.uuid4().hex}"
+    tables.write_report({"findings": findings_of(t), "patterns": patterns_of(t), "monthly": monthly(lines_of(t))}, path)
+    read = lambda name, key, value: t.spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("name"), F.expr(key).alias("key"), F.expr(value).cast("double").alias("value"))
+    return read("findings", "line_id", "score").unionByName(read("patterns", "rule || '|' || key", "score")).unionByName(read("monthly", "month", "amount"))
+
+
+@query("S19_report_contents", "SELECT level, product_id, location, suggested FROM {plan} WHERE level = 'local' OR suggested > 0", "suggested:3")
+def _(t):
+    path = f"{shared_dir(t.spark)}/report-{uuid.uuid4().hex}"
+    plan = wh_plan(t)
+    tables.write_report({"plan": replenish.ordered_plan(plan.filter("level = 'local'")), "purchases": plan.filter("level = 'network' and suggested > 0")}, path, "csv")
+    read = lambda name: t.spark.read.option("header", "true").schema(plan.schema).csv(f"{path}/{name}").select("level", "product_id", "location", "suggested")
+    return read("plan").unionByName(read("purchases"))
+
+
 @query("S20_O09_export_limit", """
 SELECT 'lines' AS name, least(count(*), 5000) AS rows_written, count(*) AS rows_total, count(*) <= 5000 AS complete FROM {consumption}""")
 def _(t):

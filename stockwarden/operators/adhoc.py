@@ -15,7 +15,7 @@ ALIASES = {
     "case": "case_no",
 }
 
-TEXT_COLUMNS = ("product", "hospital", "doctor", "technician", "case_no", "lot", "sublocation", "warehouse")
+TEXT_COLUMNS = ("product", "hospital", "doctor", "technician", "case_no", "lot", "sublocation", "warehouse", "location", "supplier", "customer", "ref", "number")
 
 
 def group_key(name: str) -> Column:
@@ -50,6 +50,21 @@ def query_consumption(lines: DataFrame, text: str = "", group_by: list[str] | No
     return out if limit is None else out.limit(limit)
 
 
+def question(rows: DataFrame, text: str = "", group_by: list[str] | None = None, sums: tuple[str, ...] = ("qty",)) -> DataFrame:
+    """The same question for any source (consumption, stock, pending supply, invoices): text filter, then totals or rows."""
+    found = search_lines(rows, text) if text.strip() else rows
+    return group_lines(found, group_by, sums) if group_by else found
+
+
+def exported(rows: DataFrame, path: str, fmt: str = "parquet") -> DataFrame:
+    """Write an answer whole, with its manifest, and read back what was written."""
+    from stockwarden.sources.tables import write_report
+
+    write_report({"answer": rows}, path, fmt)
+    reader = rows.sparkSession.read.schema(rows.schema)
+    return reader.option("header", "true").csv(f"{path}/answer") if fmt == "csv" else reader.parquet(f"{path}/answer")
+
+
 def overview(lines: DataFrame) -> DataFrame:
     return lines.agg(
         F.count("*").alias("lines"), F.count_distinct("case_no").alias("cases"),

@@ -232,7 +232,8 @@ def propose_from_plan(plan: DataFrame, transfers: DataFrame, classes: DataFrame,
                       locations: DataFrame) -> DataFrame:
     """Needs of a run as proposals: transfers, residual purchases, and min/max rules where demand is steady (X or Y).
 
-    A quantity already waiting under the same key is added to the residual the plan computed after deducting it.
+    A quantity already waiting under the same key is added to the residual the plan computed after deducting it. Transfers and
+    rules whose place the installation does not know are blocked, with the reason.
     """
     c = F.col
     null = lambda kind: F.lit(None).cast(kind)
@@ -240,12 +241,12 @@ def propose_from_plan(plan: DataFrame, transfers: DataFrame, classes: DataFrame,
     common = {"criticality": "string", "needed_on": "date", "in_time": "boolean"}
     known = resolve_locations(plan.select(c("location").alias("name")), locations).select(c("name").alias("place"), "location_id")
 
-    moved = transfers.join(known.withColumnRenamed("place", "origin").withColumnRenamed("location_id", "origin_id"), "origin").join(
-        known.withColumnRenamed("place", "destination").withColumnRenamed("location_id", "destination_id"), "destination").filter("qty > 0")
+    moved = transfers.join(known.withColumnRenamed("place", "origin").withColumnRenamed("location_id", "origin_id"), "origin", "left").join(
+        known.withColumnRenamed("place", "destination").withColumnRenamed("location_id", "destination_id"), "destination", "left").filter("qty > 0")
     moved = moved.select(
         F.lit("transfer").alias("kind"), "product_id", "product", "unit", "qty", "origin", "destination", null("string").alias("location"), null("string").alias("lot"),
         c("unit_cost"), c("destination_criticality").alias("criticality"), c("need_date").alias("needed_on"), "in_time", null("double").alias("buy_qty"), null("string").alias("buy_unit"),
-        null("double").alias("minimum"), null("double").alias("maximum"), F.lit(False).alias("blocked"), F.lit(False).alias("no_supplier"))
+        null("double").alias("minimum"), null("double").alias("maximum"), (c("origin_id").isNull() | c("destination_id").isNull()).alias("blocked"), F.lit(False).alias("no_supplier"))
 
     net = plan.filter("level = 'network' and suggested > 0").join(committed_network.select("product_id", c("qty").alias("committed_qty")), "product_id", "left")
     net = net.join(known_suppliers.select("product_id").distinct().withColumn("has_supplier", F.lit(True)), "product_id", "left")
@@ -260,14 +261,15 @@ def propose_from_plan(plan: DataFrame, transfers: DataFrame, classes: DataFrame,
     low = round_unit(c("reorder_point"), unit_decimals(c("unit")), "up")
     high = round_unit(c("reorder_point") + c("daily_demand") * 14, unit_decimals(c("unit")), "up")
     rules = plan.filter((c("level") == "local") & c("criticality").isin(*URGENCY_RANK)).join(steady, "product_id", "left_semi").join(
-        known.withColumnRenamed("place", "location"), "location").select(
+        known.withColumnRenamed("place", "location"), "location", "left").select(
         F.lit("reorder_rule").alias("kind"), "product_id", "product", "unit", high.alias("qty"), null("string").alias("origin"), null("string").alias("destination"), "location",
         null("string").alias("lot"), "unit_cost", "criticality", null(common["needed_on"]).alias("needed_on"), null("boolean").alias("in_time"), null("double").alias("buy_qty"),
-        null("string").alias("buy_unit"), low.alias("minimum"), high.alias("maximum"), F.lit(False).alias("blocked"), F.lit(False).alias("no_supplier"))
+        null("string").alias("buy_unit"), low.alias("minimum"), high.alias("maximum"), c("location_id").isNull().alias("blocked"), F.lit(False).alias("no_supplier"))
 
     rows = with_key(moved.unionByName(bought).unionByName(rules).withColumn("title", F.col("kind")))
     rows = rows.join(waiting, "key", "left").withColumn("qty", c("qty") + F.when(c("kind") == "reorder_rule", 0.0).otherwise(F.coalesce("waiting_qty", F.lit(0.0))))
     return rows.withColumns({
+        "block_reason": F.when(c("blocked"), F.when(c("kind") == "purchase", "the purchase unit can't be converted").otherwise("a place is unknown")),
         "reused": c("waiting_qty").isNotNull(), "amount": c("qty") * c("unit_cost"),
         "buy_qty": F.when(c("buy_qty").isNotNull(), F.ceil(c("qty") / c("buy_qty") - 1e-9).cast("double"))}).drop("waiting_qty", "title")
 

@@ -30,6 +30,16 @@ def crc_mod(key: str, n: int) -> Column:
     return F.expr(f"crc32(cast(`{key}` as string)) % {n}")
 
 
+def hash_sample(df: DataFrame, n: int, limit: int, *keys: str) -> DataFrame:
+    """The `limit` rows of `df` (about `n` rows) with the smallest hash of `keys`.
+
+    Rows whose hash can't be among them are dropped where they are read, so no task sends more than its share.
+    """
+    if n > 2 * limit:
+        df = df.where(F.xxhash64(*keys) <= int(-(2**63) + 2**64 * min(1.0, (1.2 * limit + 200) / n)))
+    return df.orderBy(F.xxhash64(*keys), *keys).limit(limit)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words in UTF-8 with A-Z in lower case (`bytes.lower` changes ASCII letters only)."""
     return text.encode("utf-8", "replace").lower().split() if text else []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockwarden.llm.common import mix64
+from stockwarden.llm.common import hash_sample
 from stockwarden.llm.components import components
 from stockwarden.session import materialize
 
@@ -186,7 +186,7 @@ def near_vectors(
         return apart
     if sizes["low"] != width:
         raise ValueError(f"vectors of {sizes['low']} and of {width} components can't be compared")
-    drawn = reps.orderBy(F.xxhash64("id", "rep")).limit(sample).select("vector").toPandas()  # at most `sample` vectors
+    drawn = hash_sample(reps, n, sample, "id", "rep").select("vector").toPandas()  # at most `sample` vectors
     depth = max(1, math.ceil(math.log2(max(1, n / leaf)))) if n > leaf else 0
     forest = spark.sparkContext.broadcast(Forest(unit(np.stack(drawn["vector"].to_numpy()).astype(np.float64)), depth, trees if depth else 1, spill))
     routes = f"id long, copies long, label long, vector array<{kind}>, leaf long, leaves array<long>"

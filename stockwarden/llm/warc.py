@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockwarden.llm.common import hash_sample
 from stockwarden.session import materialize, shared_dir
 
 MAGIC = 0x184D2A5D
@@ -166,7 +167,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     # Written first, so that its exact size decides whether it is broadcast; large or skewed, it is joined by digest.
     shared = materialize(shared.select(F.col("digest").alias("of"), "first"), "warc-shared")
     sample = keyed.select("page_id", "url", "digest", F.substring("payload", 1, SAMPLE_BYTES).alias("payload"))
-    drawn = sample.orderBy(F.xxhash64("page_id", "digest")).limit(SAMPLED).collect()  # `SAMPLED` rows of `SAMPLE_BYTES` characters at most
+    drawn = hash_sample(sample, pages.count(), SAMPLED, "page_id", "digest").collect()  # `SAMPLED` rows of `SAMPLE_BYTES` characters at most
     # The sample is built from whole records, but long payloads add their beginning only.
     records = [record(r.page_id, r.url, r.payload.encode("utf-8", "replace"), digest_of(r.digest.encode()), None, "") for r in drawn]
     dictionary = spark.sparkContext.broadcast(build_dictionary(records))

@@ -50,6 +50,5 @@ def risk_index(found: DataFrame, patterns: DataFrame, lines: DataFrame, top: int
     rows = rows.withColumns({
         "index": F.round(F.when(c("critical_pattern"), F.greatest(base, F.lit(65.0))).otherwise(base), 1),
         "risk_pct": F.when(c("total_amount") != 0, 100 * c("risk_amount") / c("total_amount")).otherwise(0.0)})
-    if top is not None:
-        rows = top_per_group(rows, ["dimension"], [F.desc("index"), F.desc("risk_amount"), c("key")], top)
-    return rows.drop("critical_pattern")
+    every = 1 << 30
+    return top_per_group(rows, ["dimension"], [F.desc("index"), F.desc("risk_amount"), c("key")], every if top is None else top).drop("critical_pattern")

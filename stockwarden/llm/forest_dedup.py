@@ -10,7 +10,8 @@ the sample's median of the direction, so the depth follows the number of vectors
 more than `BLOCK` vectors is compared in blocks against blocks, each a task of its own, so dense clusters stay bounded.
 
 A pair may share leaves of several trees. It is counted where its first common leaf is; each vector carries its leaves, so
-that is decided on the spot, and no pair is ever written. Equal vectors are reduced to one with a count of copies first.
+that is decided on the spot, and no pair is ever written. Of the links of a comparison, each vector keeps one to the first
+vector of its component there, so all comparisons together connect what any of them linked. Equal vectors are reduced to one with a count of copies first.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def _router(forest, width: int, kind: str):
     return run
 
 
-_FOUND = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("least", pa.int64())])
+_FOUND = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("joined", pa.int64())])
 
 
 def _met_before(lists_i: np.ndarray, lists_j: np.ndarray) -> np.ndarray:
@@ -124,6 +125,18 @@ def _met_before(lists_i: np.ndarray, lists_j: np.ndarray) -> np.ndarray:
     return out
 
 
+def joined_by(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Component labels (the least row of each component) after the links (i, j) are added to those of `label`."""
+    i, j = label[i], label[j]
+    while (apart := i != j).any():
+        i, j = i[apart], j[apart]
+        np.minimum.at(label, np.maximum(i, j), np.minimum(i, j))  # only roots move, so no earlier link is cut
+        while ((up := label[label]) != label).any():
+            label = up
+        i, j = label[i], label[j]
+    return label
+
+
 def _comparer(width: int, similarity: float):
     def run(key, group):
         leaf, first, second = (k.as_py() for k in key)
@@ -137,7 +150,7 @@ def _comparer(width: int, similarity: float):
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)
         earlier = np.full((len(ids), int(place.max()) + 1 if len(place) else 0), -1, np.int64)
         earlier[owner, place] = flat
-        links, least = np.zeros(len(ids), np.int64), ids.copy()
+        links, label_of = np.zeros(len(ids), np.int64), np.arange(len(ids))
         order = np.lexsort((block, label))
         for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
             one, two = part[block[part] == first], part[block[part] == second]
@@ -154,10 +167,9 @@ def _comparer(width: int, similarity: float):
                     i, j = i[new], j[new]
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j, copies[i])
-                np.minimum.at(least, i, ids[j])
-                np.minimum.at(least, j, ids[i])
+                label_of = joined_by(label_of, i, j)
         seen = links > 0
-        return pa.Table.from_arrays([pa.array(x[seen]) for x in (ids, links, least)], schema=_FOUND)
+        return pa.Table.from_arrays([pa.array(x[seen]) for x in (ids, links, ids[label_of])], schema=_FOUND)
 
     return run
 
@@ -196,9 +208,9 @@ def near_vectors(
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.withColumn("first", F.least("block", "other")).withColumn("second", F.greatest("block", "other"))
     found = met.select("leaf", "first", "second", "id", "copies", "label", "vector", "leaves", "block").groupBy("leaf", "first", "second")
-    found = materialize(found.applyInArrow(_comparer(width, similarity), "id long, links long, least long"), "forest-links")
+    found = materialize(found.applyInArrow(_comparer(width, similarity), "id long, links long, joined long"), "forest-links")
     # Representatives are numbered by place; components are named by their smallest vec_id afterwards.
-    roots = components(found.select(F.col("id").alias("a"), F.col("least").alias("b")))
+    roots = components(found.select(F.col("id").alias("a"), F.col("joined").alias("b")))
     counted = found.groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "rep")
     known = reps.join(counted, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     known = materialize(known.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1), "forest-classes")

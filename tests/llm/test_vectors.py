@@ -45,6 +45,35 @@ def test_links_equal_brute_force_through_deep_trees(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in out.values())
 
 
+def chains(n=40, length=12, width=64, seed=5):
+    """Vectors in chains: neighbours have a cosine near 0.985, others of a chain fewer than 0.98."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a, b = np.linalg.qr(rng.standard_normal((width, 2)))[0].T
+        out += [np.cos(0.17 * k) * a + np.sin(0.17 * k) * b for k in range(length)]
+    return np.array(out)[rng.permutation(n * length)].astype(np.float32)
+
+
+@pytest.mark.parametrize("leaf", [48, 4096])
+def test_chains_are_one_component(spark, monkeypatch, leaf):
+    monkeypatch.setattr(forest_dedup, "BLOCK", 100)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(chains())]
+    out = forest_dedup.near_vectors(table(spark, rows), leaf=leaf).collect()
+    links = brute(rows)
+    assert {r.vec_id: r.component_id for r in out} == components_of([r[0] for r in rows], links)
+    assert sum(r.n_links for r in out) == 2 * len(links) and sum(r.kept for r in out) == 40
+
+
+def test_links_of_a_group_leave_one_label_a_component():
+    rng = np.random.default_rng(2)
+    for n, m in ((2, 1), (50, 30), (200, 180), (300, 299)):
+        i, j = (rng.permutation(n)[:-1], rng.permutation(n)[1:]) if m == n - 1 else rng.integers(0, n, (2, m))
+        label = forest_dedup.joined_by(np.arange(n), i[: m // 2], j[: m // 2])
+        label = forest_dedup.joined_by(label, i[m // 2 :], j[m // 2 :])
+        assert dict(enumerate(label.tolist())) == components_of(range(n), list(zip(i.tolist(), j.tolist(), strict=True)))
+
+
 def test_copies_count_without_pairs_and_odd_vectors_link_with_nothing(spark):
     v, nan, inf = [1.0, 2.0, 3.0], float("nan"), float("inf")
     rows = [(k, v, 1) for k in range(10, 40)] + [(5, [1.0, 2.0, 3.01], 1), (6, v, 2), (7, v, None), (1, None, 1), (2, [0.0, 0.0, 0.0], 1), (3, [nan, 1.0, 1.0], 1), (4, [inf, 1.0, 1.0], 1), (8, [None, 1.0, 1.0], 1), (None, v, 1)]

@@ -27,7 +27,12 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template textarea select title svg math iframe object canvas audio video button datalist".split())
+#: Elements whose content is no markup: their text ends at their own end tag only, or with the page.
+RAW = "script style textarea title iframe"
+#: Elements that are left out with all their markup up to their own end tag; without one only the tag is.
+UNSEEN = frozenset("noscript template select svg object canvas audio video button datalist".split())
+#: Those of them that may hold others of their own name; of the rest a start tag ends an open one.
+NESTED = frozenset("template svg object canvas".split())
 #: Start tags that end an open element of these names.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -46,7 +51,7 @@ NAMES = {
 _ROLE = {w: k for k, (role, words) in enumerate(NAMES.items()) for w in words.split()}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|select|title|svg|math|iframe|object|canvas|audio|video|button|datalist)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW.replace(" ", "|") + r")(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|</[^>]*>",
     re.S | re.I,
 )
@@ -55,6 +60,24 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 _WORDS = re.compile(r"[a-z]+(?:-[a-z]+)?")
 
 
+_SAME = {name: re.compile(rf"<(/?){name}(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.I) for name in UNSEEN}
+
+
+def _end_of(page: str, name: str, at: int) -> int:
+    """Where the element `name` whose start tag ends at `at` is over; -1 if it has no end tag of its own."""
+    depth = 1
+    for m in _SAME[name].finditer(page, at):
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return m.end()
+        elif name not in NESTED:
+            return -1
+        elif not m[0].endswith("/>"):
+            depth += 1
+    return -1
+
+
 @dataclass
 class Block:
     text: str
@@ -92,7 +115,10 @@ def blocks_of(page: str | None) -> list[Block]:
                 linked += len(text)
 
     at, page = 0, page or ""
+    open_ended: set[str] = set()  # names that have no end tag in the rest of the page
     for m in _TOKEN.finditer(page):
+        if m.start() < at:  # in an element that is left out
+            continue
         add(page[at : m.start()])
         at = m.end()
         name = m["name"]
@@ -119,11 +145,18 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
                 if stack[k][0] in SCOPE:
                     break
-        if name in VOID or name in UNSEEN:
+        if name in VOID:
             continue
         attrs = m["attrs"]
         if attrs.endswith("/") and name not in BLOCK:
             continue
+        if name in UNSEEN:
+            if name not in open_ended:
+                end = _end_of(page, name, at)
+                if end < 0 and not re.search(f"</{name}", page[at:], re.I):
+                    open_ended.add(name)
+                at = max(at, end)
+            continue
         roles: frozenset[int] = frozenset()
         if attrs.strip():
             found = [w for v in _NAMED.findall(attrs) for w in _words("".join(v).lower())]

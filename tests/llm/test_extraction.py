@@ -75,6 +75,16 @@ def test_blocks():
     assert len(X.blocks_of("<div>" * 3000 + "deep")) == 1
 
 
+def test_elements_without_an_end_lose_no_text():
+    text = lambda page: [b.text for b in X.blocks_of(page)]
+    for tag in ("<button-group>", "<video-player>", "<title-bar>", "<svg viewBox='0 0 1 1'/>", "<math/>", "<button>", "<object data=x>", "<video src=x>", "<svg>"):
+        assert text(f"<p>a {tag} b</p><p>c</p>") == ["a b", "c"], tag
+    assert text("<p>a</p><button><p>b</p><button>no</button><p>c</p>") == ["a", "b", "c"]
+    assert text("<p>a <button class='x'>no</button> b <svg><svg><p>no</svg>no</svg>c</p>") == ["a b c"]
+    assert text("<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p>") == ["let x=1 be"]
+    assert text("<p>a</p><script>b <p>c</p>") == ["a"] and text("<p>a<template><p>no</p></template>b</p>") == ["ab"]
+
+
 def test_odd_rows(spark, field):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<article><p>Some text that is here, and more of it. It goes on.</p></article>", "x"), (3, "u", "<nav><a href=x>menu</a></nav>", "x"), (3, "u", "<nav><a href=x>menu</a></nav>", "x")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockwarden.llm import extraction, forest_dedup, language, mixing, packing, passages, quality, simhash, topk, warc
+from stockwarden.llm import extraction, forest_dedup, language, mixing, packing, passages, quality, simhash, topk, trie, warc
 from stockwarden.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_forest_dedup, op2_simhash_groups, op3_language, op4_mixing, op5_warc, op6_best_fit_packing, op7_main_text, op8_repeated_passages,
-        op9_quality, op10_top_k, pipeline,
+        op9_quality, op10_top_k, op11_prefix_trie, pipeline,
     )
 }
-ORACLES: dict[str, str] = {"op1_forest_dedup": forest_dedup.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op10_top_k": topk.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_forest_dedup": forest_dedup.ORACLE_SQL,
+    "op4_mixing": mixing.ORACLE_SQL,
+    "op10_top_k": topk.ORACLE_SQL,
+    "op11_prefix_trie": trie.ORACLE_SQL,
+}

@@ -7,7 +7,7 @@ that grows with the term's frequency and falls with the document's length.
   sketch, so that a task's documents are alike. Tasks cut their documents into segments of bounded size.
 * In a segment, every term's posting list is clustered by document similarity: representatives spread over the list, every
   document with its nearest one by cosine. A cluster is a block; its summary holds, for every term that some item asks
-  together with the list's own, the largest impact in the block. Segments are stored as one table, the index.
+  together with the list's own, the largest impact in the block.
 * Search reads an item's lists from the greatest possible contribution down. It stops when the lists left can't lift an
   unseen document to the k-th best score so far, and skips a block when the score of its summary can't either. Summaries
   bound every document of their block, so both are exact, and what is scored is scored in full.
@@ -23,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,59 +160,41 @@ def segment(asked: Asked, ids: np.ndarray, starts: np.ndarray, numbers: np.ndarr
     return {"doc_ids": ids, "terms": terms, "row_sizes": np.diff(starts), "row_terms": local, "row_impacts": impacts} | {k: np.concatenate(v) for k, v in out.items()}
 
 
-#: Columns of the index; one row is one segment.
-_INDEX = pa.schema([
-    ("doc_ids", pa.list_(pa.int64())),
-    *((n, pa.list_(pa.int32())) for n in (
-        "terms", "row_sizes", "row_terms", "row_impacts", "block_docs", "block_sizes", "list_sizes", "summary_sizes", "summary_terms", "summary_max")),
-])
-_INDEX_DDL = ", ".join(f"{f.name} array<{'long' if f.name == 'doc_ids' else 'int'}>" for f in _INDEX)
-
-
 def impacts_of(tf: np.ndarray, n: np.ndarray, docs: int, length: int) -> np.ndarray:
     """The impact of a frequency in a document of `n` terms, where `docs` documents have `length` terms in all."""
     return (1_000_000_000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))
 
 
-def _build(shared, docs: int, length: int):
-    """Postings in sketch order -> segments."""
+def segments(asked: Asked, batches, docs: int, length: int):
+    """Segments of postings that come in sketch order; each is dropped once it has been searched."""
 
-    def cut(asked, ids, starts, numbers, impacts):
+    def cut(ids, starts, numbers, impacts):
         if len(ids) > 1 and len(ids) * len(np.unique(numbers)) > CELLS:
             half = len(ids) // 2
             at = starts[half]
-            yield from cut(asked, ids[:half], starts[: half + 1], numbers[:at], impacts[:at])
-            yield from cut(asked, ids[half:], starts[half:] - at, numbers[at:], impacts[at:])
-            return
-        made = segment(asked, ids, starts, numbers, impacts)
-        yield pa.RecordBatch.from_arrays([_lists(made[f.name], [0, len(made[f.name])], f.type.value_type) for f in _INDEX], schema=_INDEX)
-
-    def run(batches):
-        asked = shared.value
-        held, rows = [], 0
-
-        def flush():
-            whole = pa.Table.from_batches(held).combine_chunks()
-            column = lambda name: whole[name].combine_chunks()
-            numbers, ids, n = column("numbers"), column("doc_id").to_numpy(), column("n").to_numpy()
-            for at in range(0, len(ids), ROWS):
-                part = numbers.slice(at, ROWS)
-                starts = part.offsets.to_numpy().astype(np.int64)
-                own, tf = part.flatten().to_numpy().astype(np.int64), column("tfs").slice(at, ROWS).flatten().to_numpy().astype(np.int64)
-                starts = starts - starts[0]
-                lengths = np.repeat(n[at : at + ROWS], np.diff(starts))
-                yield from cut(asked, ids[at : at + ROWS], starts, own, impacts_of(tf, lengths, docs, length))
-
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
+            yield from cut(ids[:half], starts[: half + 1], numbers[:at], impacts[:at])
+            yield from cut(ids[half:], starts[half:] - at, numbers[at:], impacts[at:])
+        else:
+            yield Segment(segment(asked, ids, starts, numbers, impacts))
+
+    def flush(held):
+        whole = pa.Table.from_batches(held).combine_chunks()
+        for at in range(0, whole.num_rows, ROWS):
+            part = {name: whole[name].slice(at, ROWS).combine_chunks() for name in whole.column_names}
+            starts = np.concatenate(([0], np.cumsum(pc.list_value_length(part["numbers"]).to_numpy())))
+            numbers, tf = (part[name].flatten().to_numpy().astype(np.int64) for name in ("numbers", "tfs"))
+            yield from cut(part["doc_id"].to_numpy(), starts, numbers, impacts_of(tf, np.repeat(part["n"].to_numpy(), np.diff(starts)), docs, length))
+
+    held, rows = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            held.append(batch.slice(at, ROWS))
+            rows += held[-1].num_rows
             if rows >= ROWS:
-                yield from flush()
+                yield from flush(held)
                 held, rows = [], 0
-        if rows:
-            yield from flush()
-
-    return run
+    if rows:
+        yield from flush(held)
 
 
 class Best:
@@ -234,7 +217,7 @@ class Best:
 
 
 class Segment:
-    """A stored segment, ready to be searched."""
+    """The vectors, lists, blocks and summaries of some documents, ready to be searched."""
 
     def __init__(self, row: dict):
         self.ids, self.terms = row["doc_ids"], row["terms"]
@@ -272,20 +255,18 @@ class Segment:
             best.add(self.ids[docs], self.dense[np.ix_(docs, own)] @ weights)
 
 
-def _search(shared, weights: np.ndarray, k: int):
-    """Segments -> the best of each item among a task's documents."""
+def _search(shared, weights: np.ndarray, docs: int, length: int, k: int):
+    """Postings in sketch order -> the best of each item among a task's documents."""
 
     def run(batches):
         asked, best = shared.value, [Best(k) for _ in shared.value.ids]
-        for batch in batches:
-            for n in range(batch.num_rows):
-                part = Segment({f.name: batch.column(f.name)[n].values.to_numpy() for f in _INDEX})
-                place = np.full(len(asked.terms), -1)
-                place[part.terms] = np.arange(len(part.terms))
-                for own, found in zip(asked.lists, best, strict=True):
-                    here = own[(place[own] >= 0) & (weights[own] > 0)]
-                    if len(here):
-                        part.search(place[here], weights[here], found)
+        for part in segments(asked, batches, docs, length):
+            place = np.full(len(asked.terms), -1)
+            place[part.terms] = np.arange(len(part.terms))
+            for own, found in zip(asked.lists, best, strict=True):
+                here = own[(place[own] >= 0) & (weights[own] > 0)]
+                if len(here):
+                    part.search(place[here], weights[here], found)
         for item, found in zip(asked.ids, best, strict=True):
             if len(found.ids):
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(found.ids), pa.int64()), pa.array(found.ids), pa.array(found.scores)], names=["item_id", "doc_id", "score"])
@@ -320,8 +301,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
         if not held.any():
             continue
         near = postings.where("doc_id is not null and size(numbers) > 0").repartitionByRange("sketch", "doc_id").sortWithinPartitions("sketch", "doc_id")
-        index = materialize(near.mapInArrow(_build(shared, n_docs, length), _INDEX_DDL), "lexical-index")
-        found = index.mapInArrow(_search(shared, weights_of(held, n_docs), k), "item_id long, doc_id long, score long")
+        found = near.mapInArrow(_search(shared, weights_of(held, n_docs), n_docs, length, k), "item_id long, doc_id long, score long")
         out = out.unionByName(materialize(found, "lexical-found"))
     best = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

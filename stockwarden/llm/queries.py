@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockwarden.llm import extraction, forest_dedup, language, lexical, mixing, packing, passages, quality, simhash, topk, trie, warc
+from stockwarden.llm import extraction, forest_dedup, language, lexical, mixing, packing, passages, quality, simhash, topk, toxicity, trie, warc
 from stockwarden.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(table(spark, folder, "conversations"))
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -77,7 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_forest_dedup, op2_simhash_groups, op3_language, op4_mixing, op5_warc, op6_best_fit_packing, op7_main_text, op8_repeated_passages,
-        op9_quality, op10_top_k, op11_prefix_trie, op13_ranked_search, pipeline,
+        op9_quality, op10_top_k, op11_prefix_trie, op12_toxicity, op13_ranked_search, pipeline,
     )
 }
 ORACLES: dict[str, str] = {

@@ -356,7 +356,7 @@ SELECT *, round(CASE WHEN cp THEN greatest(base, 65) ELSE base END, 1) AS index
 
 @query("A12_U03_C16_risk_index", """
 SELECT dimension, key, points, findings, risk_amount, critical, high, lines, total_amount, index, 100 * risk_amount / total_amount AS risk_pct, rank FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY dimension ORDER BY index DESC, risk_amount DESC, key) AS INT) AS rank FROM {risk}) WHERE rank <= 25""", "points:1 risk_amount:2 total_amount:2 index:1 risk_pct:4")
+  SELECT *, CAST(row_number() OVER (PARTITION BY dimension ORDER BY index DESC, risk_amount DESC, key) AS INT) AS rank FROM {risk})""", "points:1 risk_amount:2 total_amount:2 index:1 risk_pct:4")
 def _(t):
     return risk.risk_index(findings_of(t), patterns_of(t), lines_of(t))
 

@@ -15,9 +15,10 @@ from stockwarden.operators import evidence, fuse, learning, ledger, replenish
 from stockwarden.session import shared_dir
 from stockwarden.sources import tables
 from stockwarden.sources.stock import usable_stock
-from stockwarden.streaming import incremental, surveillance
+from stockwarden.streaming import incremental, surveillance, versioned
 
 AS_OF = datetime(2001, 8, 1)
+#: How many targets one run may investigate; only the query of the investigation budget applies it.
 CASES = 24
 
 
@@ -26,7 +27,7 @@ def _known(t):
 
 
 def targets_of(t):
-    return stored(t.spark, t.folder, "targets", lambda: evidence.targets(findings_of(t), patterns_of(t), _known(t), CASES))
+    return stored(t.spark, t.folder, "targets", lambda: evidence.targets(findings_of(t), patterns_of(t), _known(t)))
 
 
 CTES["targets"] = """
@@ -35,11 +36,11 @@ SELECT * FROM (
     CASE WHEN dimension = 'technician' THEN actor END AS technician, CASE WHEN dimension = 'doctor' THEN actor END AS doctor, NULL AS lot, CASE WHEN dimension = 'sublocation' THEN key END AS sublocation, NULL::TIMESTAMP AS ts, severity, risk_amount, 0 AS tier
     FROM {patterns} WHERE severity IN ('critical', 'high'))
   UNION ALL SELECT * FROM (SELECT fingerprint, 'finding', methods, NULL, NULL, case_no, product_id, product, hospital, technician, doctor, lot, sublocation, ts, severity, risk_amount, 1 FROM {findings} WHERE severity IN ('critical', 'high')))
-WHERE fingerprint NOT IN (SELECT fingerprint FROM {findings} WHERE severity = 'high') ORDER BY tier, risk_amount DESC, fingerprint LIMIT 24
+WHERE fingerprint NOT IN (SELECT fingerprint FROM {findings} WHERE severity = 'high')
 """
 
 
-@query("O06_investigation_targets", "SELECT fingerprint, kind, methods, case_no, product, hospital, technician, severity FROM {targets}")
+@query("O06_investigation_targets", "SELECT fingerprint, kind, methods, case_no, product, hospital, technician, severity FROM {targets} ORDER BY tier, risk_amount DESC, fingerprint LIMIT 24")
 def _(t):
     rows = evidence.targets(findings_of(t), patterns_of(t), _known(t), CASES)
     return rows.select("fingerprint", "kind", F.array_join("methods", ",").alias("methods"), "case_no", "product", "hospital", "technician", "severity")
@@ -55,35 +56,51 @@ def _(t):
     return evidence.case_content(lines_of(t), targets_of(t))["lines"].select("case_no", "line_id", "qty")
 
 
-CTES["people"] = "SELECT DISTINCT CASE WHEN dimension IN ('technician', 'doctor') THEN dimension WHEN technician <> '' THEN 'technician' ELSE 'doctor' END AS dimension, CASE WHEN dimension = 'doctor' OR coalesce(technician, '') = '' THEN doctor ELSE technician END AS name, product FROM {targets}"
+CTES["people"] = "SELECT DISTINCT CASE WHEN dimension IN ('technician', 'doctor') THEN dimension WHEN technician <> '' THEN 'technician' ELSE 'doctor' END AS dimension, CASE WHEN dimension = 'doctor' OR coalesce(technician, '') = '' THEN doctor ELSE technician END AS name, product FROM {targets} WHERE dimension IN ('technician', 'doctor') OR technician <> '' OR doctor <> ''"
 CTES["actor_lines"] = "SELECT e.*, d.dimension, CASE d.dimension WHEN 'technician' THEN e.technician ELSE e.doctor END AS name, CASE WHEN duration_min > 0 THEN qty / duration_min END AS any_rate FROM {enriched} e JOIN (VALUES ('technician'), ('doctor')) d(dimension) ON TRUE WHERE ts > today - INTERVAL '90' DAY"
 
 
-@query("D02_actor_history", """
+CTES["actors"] = """
 WITH base AS (SELECT dimension, name, count(DISTINCT case_no) AS cases, count(DISTINCT case_no) FILTER (doctor = '') AS cases_no_doctor, count(*) FILTER (night OR weekend) AS odd_lines FROM {actor_lines} JOIN (SELECT DISTINCT dimension, name FROM {people}) p USING (dimension, name) GROUP BY 1, 2),
 home AS (SELECT dimension, name, hospital AS home FROM (SELECT dimension, name, hospital, row_number() OVER (PARTITION BY dimension, name ORDER BY count(*) DESC, hospital) AS rn FROM {actor_lines} GROUP BY 1, 2, 3) WHERE rn = 1),
 own AS (SELECT dimension, name, product, count(*) AS lines, quantile_cont(any_rate, 0.5) AS rate_median FROM {actor_lines} JOIN {people} USING (dimension, name, product) GROUP BY 1, 2, 3),
 peers AS (SELECT p.dimension, p.name, p.product, count(DISTINCT a.name) AS peers, quantile_cont(a.any_rate, 0.5) AS peer_rate FROM {people} p JOIN home h ON h.dimension = p.dimension AND h.name = p.name JOIN {actor_lines} a ON a.dimension = p.dimension AND a.product = p.product AND a.hospital = h.home AND a.name <> p.name GROUP BY 1, 2, 3)
-SELECT b.*, h.home, o.product, o.lines, o.rate_median, r.peers, r.peer_rate FROM base b JOIN home h USING (dimension, name) LEFT JOIN own o USING (dimension, name) LEFT JOIN peers r ON r.dimension = o.dimension AND r.name = o.name AND r.product = o.product""", "rate_median peer_rate")
+SELECT b.*, h.home, o.product, o.lines, o.rate_median, r.peers, r.peer_rate FROM base b JOIN home h USING (dimension, name) LEFT JOIN own o USING (dimension, name) LEFT JOIN peers r ON r.dimension = o.dimension AND r.name = o.name AND r.product = o.product
+"""
+
+
+@query("D02_actor_history", "SELECT * FROM {actors}", "rate_median peer_rate")
 def _(t):
     rows = evidence.actor_history(lines_of(t), evidence.actors(targets_of(t)))
     return rows.select("dimension", "name", "cases", "cases_no_doctor", "odd_lines", "home", "product", "lines", "rate_median", "peers", "peer_rate")
 
 
-@query("D03_scale_readings", """
-SELECT e.case_no, e.line_id, (weight_start - weight_end) AS grams, 100 * ((weight_start - weight_end) / 1.5e0 - qty) / qty AS diff_pct, weight_end > weight_start AS inconsistent FROM {enriched} e JOIN (SELECT DISTINCT case_no, product FROM {targets}) t USING (case_no, product) WHERE weight_start IS NOT NULL""", "grams diff_pct")
+CTES["readings"] = """
+SELECT e.case_no, e.product, e.line_id, (weight_start - weight_end) AS grams, CASE WHEN qty <> 0 THEN 100 * ((weight_start - weight_end) / 1.5e0 - qty) / qty END AS diff_pct, weight_end > weight_start AS inconsistent FROM {enriched} e JOIN (SELECT DISTINCT case_no, product FROM {targets}) t USING (case_no, product) WHERE weight_start IS NOT NULL
+"""
+
+
+@query("D03_scale_readings", "SELECT case_no, line_id, grams, diff_pct, inconsistent FROM {readings}", "grams diff_pct")
 def _(t):
     return evidence.scale_readings(lines_of(t), targets_of(t), CFG).select("case_no", "line_id", "grams", "diff_pct", "inconsistent")
 
 
-@query("D03_technician_mismatch", """
-SELECT technician, count(*) AS weighings, 100 * count(*) FILTER (abs((weight_start - weight_end) / 1.5e0 - qty) / qty > 0.15e0) / count(*) AS mismatch_pct FROM {enriched} WHERE weight_start IS NOT NULL AND qty > 0 AND technician IN (SELECT technician FROM {targets}) GROUP BY 1""", "mismatch_pct")
+CTES["mismatches"] = """
+SELECT technician, count(*) AS weighings, 100 * count(*) FILTER (abs((weight_start - weight_end) / 1.5e0 - qty) / qty > 0.15e0) / count(*) AS mismatch_pct FROM {enriched} WHERE weight_start IS NOT NULL AND qty > 0 AND technician IN (SELECT technician FROM {targets}) GROUP BY 1
+"""
+
+
+@query("D03_technician_mismatch", "SELECT * FROM {mismatches}", "mismatch_pct")
 def _(t):
     return evidence.technician_mismatch(lines_of(t), targets_of(t), CFG)
 
 
-@query("D04_lot_history", """
-SELECT lot, hospital, lines, qty, first_value(hospital) OVER (PARTITION BY lot ORDER BY lines DESC, hospital) AS usual_hospital FROM (SELECT lot, hospital, count(*) AS lines, sum(qty) AS qty FROM {enriched} WHERE ts > today - INTERVAL '120' DAY AND lot IN (SELECT lot FROM {targets}) GROUP BY 1, 2)""", "qty")
+CTES["lot_places"] = """
+SELECT lot, hospital, lines, qty, first_value(hospital) OVER (PARTITION BY lot ORDER BY lines DESC, hospital) AS usual_hospital FROM (SELECT lot, hospital, count(*) AS lines, sum(qty) AS qty FROM {enriched} WHERE ts > today - INTERVAL '120' DAY AND lot IN (SELECT lot FROM {targets}) GROUP BY 1, 2)
+"""
+
+
+@query("D04_lot_history", "SELECT * FROM {lot_places}", "qty")
 def _(t):
     return evidence.lot_history(lines_of(t), targets_of(t)).select("lot", "hospital", "lines", "qty", "usual_hospital")
 
@@ -112,11 +129,15 @@ def _(t):
     return evidence.day_context(lines_of(t), targets_of(t))["products"]
 
 
-@query("D07_compare_periods", """
+CTES["periods"] = """
 SELECT w.dimension, w.key, w.product, count(*) FILTER (ts > today - INTERVAL '30' DAY) AS lines, count(DISTINCT case_no) FILTER (ts > today - INTERVAL '30' DAY) AS cases, count(*) FILTER (ts <= today - INTERVAL '30' DAY) / 3 AS lines_before,
        quantile_cont(CASE WHEN duration_min > 0 THEN qty / duration_min END, 0.5) FILTER (ts > today - INTERVAL '30' DAY) AS rate, count(DISTINCT case_no) FILTER (ts <= today - INTERVAL '30' DAY) < 5 AS history_insufficient
 FROM {enriched} e JOIN (SELECT DISTINCT dimension, key, product FROM {targets} WHERE dimension IS NOT NULL) w ON e.product = w.product AND w.key = CASE w.dimension WHEN 'technician' THEN e.technician WHEN 'doctor' THEN e.doctor WHEN 'sublocation' THEN e.sublocation ELSE e.hospital END
-WHERE ts > today - INTERVAL '120' DAY GROUP BY 1, 2, 3""", "lines_before rate")
+WHERE ts > today - INTERVAL '120' DAY GROUP BY 1, 2, 3
+"""
+
+
+@query("D07_compare_periods", "SELECT * FROM {periods}", "lines_before rate")
 def _(t):
     return evidence.compare_periods(lines_of(t), targets_of(t)).select("dimension", "key", "product", "lines", "cases", "lines_before", "rate", "history_insufficient")
 
@@ -141,8 +162,7 @@ SELECT event_id AS note_id, CASE event_type WHEN 'click' THEN 'actor' WHEN 'view
 
 
 @query("D09_J20_clarifications", """
-SELECT fingerprint, note_id FROM (SELECT fingerprint, note_id, row_number() OVER (PARTITION BY fingerprint ORDER BY note_id DESC) AS rn FROM (
-  SELECT DISTINCT t.fingerprint, n.note_id FROM {targets} t JOIN {notes} n ON (n.scope = 'actor' AND n.technician = t.technician) OR (n.scope = 'product_hospital' AND n.product = t.product AND n.hospital = t.hospital) OR (n.scope = 'hospital' AND n.hospital = t.hospital))) WHERE rn <= 10""")
+SELECT DISTINCT t.fingerprint, n.note_id FROM {targets} t JOIN {notes} n ON (n.scope = 'actor' AND n.technician = t.technician) OR (n.scope = 'product_hospital' AND n.product = t.product AND n.hospital = t.hospital) OR (n.scope = 'hospital' AND n.hospital = t.hospital)""")
 def _(t):
     from catalogue.views import Tables
 
@@ -163,12 +183,36 @@ def _evidence(t):
     }
 
 
-@query("D10_hypotheses")
+_HYPOTHESES = ", ".join(
+    f"({n}, '{rule}', '{evidence.CAUSES[kind][0]}', '{evidence.CAUSES[kind][1]}', {', '.join(str(m) for m in evidence.SPEAKS.get(kind, (0, 0)))})"
+    for rule, kinds in evidence.RULE_CAUSES.items() for n, kind in enumerate(kinds))
+CTES["seen_by"] = """
+SELECT t.fingerprint, t.methods, t.product, t.case_no, t.technician, t.dimension, t.key, CASE WHEN t.technician <> '' THEN t.technician ELSE t.doctor END AS name, r.ok, r.off, r.n AS n_scale, l.lot IS NOT NULL AS has_lot, d.day IS NOT NULL AS has_day
+FROM {targets} t LEFT JOIN (SELECT case_no, product, bool_or(round_even(diff_pct, 0) <= 0) AS ok, bool_or(abs(round_even(diff_pct, 0)) > 15) AS off, least(count(*), 2) AS n FROM {readings} GROUP BY 1, 2) r ON r.case_no = t.case_no AND r.product = t.product
+LEFT JOIN (SELECT DISTINCT lot FROM {lot_places}) l ON l.lot = t.lot LEFT JOIN {target_days} d ON d.hospital = t.hospital AND d.day = CAST(t.ts AS DATE)
+"""
+CTES["signals"] = """
+SELECT s.fingerprint, s.methods, CASE WHEN ok THEN 1 ELSE 0 END + CASE WHEN off THEN 2 ELSE 0 END + CASE WHEN has_day OR a.name IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN has_day THEN 8 ELSE 0 END + CASE WHEN has_lot THEN 16 ELSE 0 END AS bits
+FROM {seen_by} s LEFT JOIN (SELECT DISTINCT name FROM {actors}) a USING (name)
+"""
+
+
+@query("D10_hypotheses", f"""
+SELECT fingerprint, hypothesis, "check", in_favour, against, CASE WHEN in_favour > 0 AND against = 0 THEN 'high' WHEN against > 0 AND in_favour = 0 THEN 'low' ELSE 'medium' END AS plausibility,
+       CAST(row_number() OVER (PARTITION BY fingerprint ORDER BY in_favour - against DESC, method_order, position) AS INT) AS rank FROM (
+  SELECT m.fingerprint, m.method_order, h.position, h.hypothesis, h."check", bit_count(m.bits & h.f) AS in_favour, bit_count(m.bits & h.a) AS against, row_number() OVER (PARTITION BY m.fingerprint, h.hypothesis ORDER BY m.method_order, h.position) AS rn FROM (
+    SELECT fingerprint, bits, i AS method_order, string_split(methods, ',')[i + 1] AS method FROM (SELECT *, unnest(range(len(string_split(methods, ',')))) AS i FROM {{signals}})) m
+  JOIN (VALUES {_HYPOTHESES}) h(position, rule, hypothesis, "check", f, a) ON h.rule = CASE WHEN m.method LIKE 'z\\_%' ESCAPE '\\' THEN 'z' ELSE m.method END) WHERE rn = 1""")
 def _(t):
     return evidence.rank_hypotheses(evidence.signals(targets_of(t), **_evidence(t)))
 
 
-@query("D10_evidence_confidence")
+@query("D10_evidence_confidence", """
+SELECT fingerprint, evidence, CASE WHEN evidence >= 4 AND NOT coalesce(history_insufficient, FALSE) THEN 'medium' ELSE 'low' END AS confidence FROM (
+  SELECT s.fingerprint, p.history_insufficient, CAST(CASE WHEN s.case_no IS NOT NULL THEN 1 + CASE WHEN m.technician IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END + coalesce(s.n_scale, 0) + CASE WHEN a.name IS NOT NULL THEN 1 + a.beside ELSE 0 END
+    + CASE WHEN has_lot THEN 1 ELSE 0 END + CASE WHEN has_day THEN 1 ELSE 0 END + CASE WHEN p.history_insufficient IS NOT NULL THEN 1 ELSE 0 END AS INT) AS evidence
+  FROM {seen_by} s LEFT JOIN (SELECT name, product, max(CASE WHEN rate_median IS NOT NULL AND peer_rate IS NOT NULL THEN 1 ELSE 0 END) AS beside FROM {actors} GROUP BY 1, 2) a ON a.name = s.name AND a.product = s.product
+  LEFT JOIN {mismatches} m ON m.technician = s.technician LEFT JOIN {periods} p ON p.dimension = s.dimension AND p.key = s.key AND p.product = s.product)""")
 def _(t):
     lines, rows = lines_of(t), targets_of(t)
     return evidence.evidence_confidence(rows, **_evidence(t), mismatch=evidence.technician_mismatch(lines, rows, CFG), periods=evidence.compare_periods(lines, rows))
@@ -240,8 +284,9 @@ def _(t):
 
 @query("X04_alert_once", "SELECT DISTINCT fingerprint FROM {alerts} WHERE kind <> 'late_delivery'")
 def _(t):
-    memory = _alerts(t).filter("kind = 'late_delivery'").select("fingerprint", F.lit(date(2001, 7, 30)).alias("raised_on"))
-    return surveillance.unseen_alerts(_alerts(t), memory, AS_OF.date()).select("fingerprint")
+    root = f"{shared_dir(t.spark)}/alerts-{uuid.uuid4().hex}"
+    surveillance.raise_alerts(_alerts(t).filter("kind = 'late_delivery'"), root, datetime(2001, 7, 30))
+    return surveillance.raise_alerts(_alerts(t), root, AS_OF).select("fingerprint")
 
 
 def event_stream(t):
@@ -254,9 +299,9 @@ def event_stream(t):
 @query("X01_incremental_snapshot", "SELECT user_id, event_id, ts, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) WHERE rn = 1")
 def _(t):
     root = f"{shared_dir(t.spark)}/snapshot-{uuid.uuid4().hex}"
-    run = incremental.start_snapshot(event_stream(t), f"{root}/state", f"{root}/checkpoint", "user_id", ["ts", "event_id"], buckets=8)
+    run = incremental.start_snapshot(event_stream(t), f"{root}/state", f"{root}/checkpoint", "user_id", ["ts", "event_id"])
     run.awaitTermination()
-    return incremental.snapshot(t.spark, f"{root}/state").select("user_id", "event_id", "ts", "props")
+    return versioned.snapshot(t.spark, f"{root}/state").select("user_id", "event_id", "ts", "props")
 
 
 @query("X01_changed_ids", """

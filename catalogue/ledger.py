@@ -96,22 +96,20 @@ def _(t):
     return ledger.superseded(t.proposals)
 
 
-@query("U05_no_longer_needed", f"""
-SELECT id, key FROM {{keyed}} WHERE {_PENDING} AND kind IN ('transfer', 'purchase', 'reorder_rule') AND last_run <> 3 AND key NOT IN (SELECT key FROM {{keyed}} WHERE status = 'approved')""")
-def _(t):
-    needed = ledger.with_key(t.proposals.filter("status = 'approved'"))
-    return ledger.no_longer_needed(t.proposals, needed, 3).select("id", "key")
+CTES["still_valid"] = f"""
+SELECT DISTINCT key FROM {{keyed}} k WHERE {_PENDING} AND ((kind = 'purchase' AND product_id IN (SELECT product_id FROM {{network}} WHERE suggested > 0))
+  OR (kind IN ('transfer', 'reorder_rule') AND EXISTS (SELECT 1 FROM {{wh_used}} u WHERE u.product_id = k.product_id AND u.location = CASE WHEN k.kind = 'transfer' THEN k.destination ELSE k.location END AND u.criticality IN ('out_of_stock', 'critical', 'reorder') AND u.suggested > 0)))
+"""
 
 
-CTES["new_needs"] = "SELECT key, sum(qty) * 0.05e0 AS qty FROM {keyed} WHERE status IN ('rejected', 'proposed') AND kind = 'transfer' GROUP BY 1"
+@query("U05_still_valid_needs", "SELECT key FROM {still_valid}")
+def _(t):
+    return ledger.still_valid(t.proposals, wh_plan(t))
 
 
-@query("F28_J27_material_changes", f"""
-SELECT *, CASE WHEN stored_id IS NULL THEN 'new' WHEN new_qty IS NULL THEN 'absent' WHEN abs(new_qty - old_qty) / old_qty * 100 > 2 THEN 'updated' ELSE 'unchanged' END AS change FROM (
-  SELECT key, n.qty AS new_qty, o.stored_id, o.old_qty FROM {{new_needs}} n FULL JOIN (SELECT key, max(id) AS stored_id, arg_max(qty, id) AS old_qty FROM {{keyed}} WHERE {_PENDING} GROUP BY 1) o USING (key))""", "new_qty old_qty")
+@query("U05_no_longer_needed", f"SELECT id, key FROM {{keyed}} WHERE {_PENDING} AND kind IN ('transfer', 'purchase', 'reorder_rule') AND last_run <> 3 AND key NOT IN (SELECT key FROM {{still_valid}})")
 def _(t):
-    needs = ledger.with_key(t.proposals.filter("status in ('rejected', 'proposed') and kind = 'transfer'")).groupBy("key").agg((F.sum("qty") * 0.05).alias("qty"))
-    return ledger.changes(needs, t.proposals, POLICY)
+    return ledger.no_longer_needed(t.proposals, ledger.still_valid(t.proposals, wh_plan(t)), 3).select("id", "key")
 
 
 CTES["lot_stock"] = "SELECT product_id, warehouse AS location, lot, qty, reserved FROM {stock}"
@@ -121,7 +119,7 @@ CTES["lot_stock"] = "SELECT product_id, warehouse AS location, lot, qty, reserve
 WITH firm AS (SELECT product_id, origin, sum(qty) AS f FROM {{proposals}} WHERE kind IN ('transfer', 'quarantine') AND origin IS NOT NULL AND (status IN ('approved', 'executing', 'approved_manual')
     OR (status IN ('executed', 'late') AND coalesce(doc_state, 'draft') NOT IN ('confirmed', 'assigned', 'partially_available', 'waiting', 'done', 'cancel', 'purchase'))) GROUP BY 1, 2),
 place AS (SELECT product_id, location AS origin, sum(qty - reserved) AS free FROM {{lot_stock}} GROUP BY 1, 2), lots AS (SELECT product_id, location AS origin, lot, sum(qty - reserved) AS free FROM {{lot_stock}} GROUP BY 1, 2, 3),
-bought AS (SELECT DISTINCT product_id FROM {{purchase_lines}} WHERE state = 'done' AND planned BETWEEN TIMESTAMP '2001-07-18 00:00:00' AND TIMESTAMP '2001-08-01 00:00:00' AND product_id > 5),
+bought AS (SELECT DISTINCT product_id FROM {{purchase_lines}} WHERE state = 'done' AND planned BETWEEN TIMESTAMP '2001-07-18 00:00:00' AND TIMESTAMP '2001-08-01 00:00:00'),
 r AS (SELECT p.*, p.kind IN ('transfer', 'quarantine') AS moves, coalesce(CASE WHEN kind = 'quarantine' THEN l.free ELSE s.free END, 0) - coalesce(f.f, 0) AS av, b.product_id IS NOT NULL AS dup FROM {{policy_checked}} p
   LEFT JOIN place s ON s.product_id = p.product_id AND s.origin = p.origin LEFT JOIN lots l ON l.product_id = p.product_id AND l.origin = p.origin AND l.lot = p.lot LEFT JOIN firm f ON f.product_id = p.product_id AND f.origin = p.origin
   LEFT JOIN bought b ON b.product_id = p.product_id WHERE {_PENDING}),
@@ -130,7 +128,7 @@ SELECT id, kind, CASE WHEN old THEN 'expired' WHEN NOT allowed THEN 'blocked' WH
   WHEN kind = 'purchase' AND dup THEN 'needs_review' ELSE 'ok' END AS verdict, CASE WHEN moves THEN av END AS available, CASE WHEN NOT old AND allowed AND moves AND av < qty AND av > 0 THEN capped ELSE qty END AS qty FROM c""", "available qty")
 def _(t):
     stock = usable_stock(t.quants, AS_OF).withColumn("location", F.col("warehouse"))
-    recent = t.purchase_lines.filter("state = 'done' and product_id > 5").select("product_id", F.col("planned").alias("created_at"))
+    recent = t.purchase_lines.filter("state = 'done'").select("product_id", F.col("planned").alias("created_at"))
     return ledger.recheck(t.proposals, stock, recent, POLICY, AS_OF)
 
 
@@ -175,36 +173,49 @@ def _places(t):
 
 
 def _needs(t):
-    sides = ledger.commitments(ledger.active(t.proposals.filter("status = 'executing' and risk = 'low'")))
+    sides = ledger.commitments(ledger.active(t.proposals, reported_refs=t.pending))
     abc = classes.abc_xyz(wh_lines(t), F.expr(END))
     return ledger.propose_from_plan(wh_plan(t), wh_transfers(t), abc, t.proposals, sides["network"], catalog.lead_times(t.suppliers), _places(t))
 
 
-@query("F27_proposals_from_plan")
+_ROUNDED = "CASE WHEN lower(unit) = 'ml' THEN ceil({x} * 10 - 1e-9) / 10 ELSE ceil({x} - 1e-9) END"
+CTES["residuals"] = f"""
+SELECT product_id, {_ROUNDED.format(x='left_over')} AS qty FROM (
+  SELECT n.product_id, n.unit, greatest(0, n.suggested - coalesce(h.qty, 0)) AS left_over FROM {{network}} n LEFT JOIN (SELECT product_id, sum(qty) AS qty FROM {{held}} WHERE kind = 'purchase' GROUP BY 1) h USING (product_id) WHERE n.suggested > 0) WHERE left_over > 0
+"""
+CTES["rules"] = f"""
+SELECT u.product_id, u.location, {_ROUNDED.format(x='reorder_point')} AS minimum, {_ROUNDED.format(x='(reorder_point + daily * 14)')} AS maximum FROM {{wh_used}} u
+WHERE criticality IN ('out_of_stock', 'critical', 'reorder') AND product_id IN (SELECT product_id FROM {{abc}} WHERE xyz IN ('X', 'Y'))
+"""
+CTES["plan_needs"] = f"""
+SELECT kind, key, product_id, n.qty + CASE WHEN kind = 'reorder_rule' THEN 0 ELSE coalesce(w.qty, 0) END AS qty, w.qty IS NOT NULL AS reused FROM (
+  SELECT 'transfer' AS kind, concat_ws('|', 'transfer', product_id, 'origin=' || origin, 'destination=' || destination) AS key, product_id, qty FROM {{moves}}
+  UNION ALL SELECT 'purchase', concat_ws('|', 'purchase', product_id), product_id, qty FROM {{residuals}}
+  UNION ALL SELECT 'reorder_rule', concat_ws('|', 'reorder_rule', product_id, 'location=' || location), product_id, maximum FROM {{rules}}) n
+LEFT JOIN (SELECT key, arg_max(qty, id) AS qty FROM {{keyed}} WHERE {_PENDING} GROUP BY 1) w USING (key)
+"""
+
+
+@query("F27_proposals_from_plan", "SELECT kind, key, qty, reused FROM {plan_needs}", "qty:3")
 def _(t):
-    return ledger.within_run_limit(_needs(t), POLICY)
+    return ledger.within_run_limit(_needs(t), POLICY).select("kind", "key", "qty", "reused")
 
 
-@query("F27_purchase_residuals", f"""
-SELECT product_id, CASE WHEN unit = 'mL' THEN ceil(left_over * 10 - 1e-9) / 10 ELSE ceil(left_over - 1e-9) END + coalesce(w.qty, 0) AS qty, w.qty IS NOT NULL AS reused FROM (
-  SELECT n.product_id, n.unit, greatest(0, n.suggested - coalesce(h.qty, 0)) AS left_over FROM {{network}} n LEFT JOIN (SELECT product_id, sum(qty) AS qty FROM {{held}} WHERE kind = 'purchase' AND status = 'executing' AND risk = 'low' GROUP BY 1) h USING (product_id) WHERE n.suggested > 0)
-LEFT JOIN (SELECT product_id, arg_max(qty, id) AS qty FROM {{proposals}} WHERE {_PENDING} AND kind = 'purchase' GROUP BY 1) w USING (product_id) WHERE left_over > 0""", "qty:3")
+@query("F27_purchase_residuals", "SELECT product_id, qty, reused FROM {plan_needs} WHERE kind = 'purchase'", "qty:3")
 def _(t):
     return _needs(t).filter("kind = 'purchase'").select("product_id", "qty", "reused")
 
 
-@query("F27_min_max_rules", """
-SELECT u.product_id, u.location, CASE WHEN lower(unit) = 'ml' THEN ceil(reorder_point * 10 - 1e-9) / 10 ELSE ceil(reorder_point - 1e-9) END AS minimum, CASE WHEN lower(unit) = 'ml' THEN ceil((reorder_point + daily * 14) * 10 - 1e-9) / 10
-  ELSE ceil(reorder_point + daily * 14 - 1e-9) END AS maximum FROM {wh_used} u WHERE criticality IN ('out_of_stock', 'critical', 'reorder') AND product_id IN (SELECT product_id FROM {abc} WHERE xyz IN ('X', 'Y'))""", "minimum maximum")
+@query("F27_min_max_rules", "SELECT * FROM {rules}", "minimum maximum")
 def _(t):
     return _needs(t).filter("kind = 'reorder_rule'").select("product_id", "location", "minimum", "maximum")
 
 
-@query("U05_still_valid_needs", f"""
-SELECT DISTINCT key FROM {{keyed}} k WHERE {_PENDING} AND ((kind = 'purchase' AND product_id IN (SELECT product_id FROM {{network}} WHERE suggested > 0))
-  OR (kind IN ('transfer', 'reorder_rule') AND EXISTS (SELECT 1 FROM {{wh_used}} u WHERE u.product_id = k.product_id AND u.location = CASE WHEN k.kind = 'transfer' THEN k.destination ELSE k.location END AND u.criticality IN ('out_of_stock', 'critical', 'reorder') AND u.suggested > 0)))""")
+@query("F28_J27_material_changes", f"""
+SELECT *, CASE WHEN stored_id IS NULL THEN 'new' WHEN new_qty IS NULL THEN 'absent' WHEN abs(new_qty - old_qty) / old_qty * 100 > 2 THEN 'updated' ELSE 'unchanged' END AS change FROM (
+  SELECT key, n.qty AS new_qty, o.stored_id, o.old_qty FROM {{plan_needs}} n FULL JOIN (SELECT key, max(id) AS stored_id, arg_max(qty, id) AS old_qty FROM {{keyed}} WHERE {_PENDING} GROUP BY 1) o USING (key))""", "new_qty:3 old_qty:3")
 def _(t):
-    return ledger.still_valid(t.proposals, wh_plan(t))
+    return ledger.changes(_needs(t), t.proposals, POLICY)
 
 
 CTES["free_stock"] = """

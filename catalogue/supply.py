@@ -500,11 +500,9 @@ def _(t):
     return replenish.network_forecast(wh_forecasts(t))
 
 
-@query("A33_forecast_pivot", """
-SELECT day, sum(projected) FILTER (product_id = 0) AS p0, sum(projected) FILTER (product_id = 1) AS p1, sum(projected) FILTER (product_id = 2) AS p2, sum(projected) FILTER (product_id = 3) AS p3 FROM {wh_fc} GROUP BY 1""", "p0 p1 p2 p3")
+@query("A33_forecast_pivot", "SELECT day, product_id, sum(projected) AS projected FROM {wh_fc} GROUP BY 1, 2", "projected")
 def _(t):
-    wide = wh_forecasts(t).groupBy("day").pivot("product_id", [0, 1, 2, 3]).agg(F.sum("projected"))
-    return wide.select("day", *[F.col(str(i)).alias(f"p{i}") for i in range(4)])
+    return replenish.daily_by_product(wh_forecasts(t))
 
 
 CTES["plan"] = """
@@ -582,16 +580,55 @@ def wh_transfers(t):
     return stored(t.spark, t.folder, "wh-transfers", lambda: rebalance.propose_transfers(wh_local(t), CFG))
 
 
-@query("F22_J15_O08_rebalancing")
+CTES["alloc_rows"] = """
+SELECT r.product_id, r.location, r.region, r.reserve, coalesce(u.criticality, i.criticality) AS criticality, u.suggested, u.stockout_day, coalesce(u.is_dc, i.is_dc) AS is_dc, CASE WHEN u.product_id IS NULL THEN i.projected_stock ELSE u.closing + u.horizon_demand END AS projected
+FROM {reserve} r LEFT JOIN {wh_used} u ON u.product_id = r.product_id AND u.location = r.location LEFT JOIN {wh_idle} i ON i.product_id = r.product_id AND i.location = r.location
+"""
+CTES["alloc_units"] = "SELECT product_id, CASE WHEN lower(min(unit)) = 'ml' THEN 10 ELSE 1 END AS f FROM {wh_used} GROUP BY 1"
+CTES["alloc_need"] = """
+SELECT product_id, location, region, f, CAST(ceil(suggested * f - 1e-9) AS BIGINT) AS missing, row_number() OVER (PARTITION BY product_id ORDER BY stockout_day IS NULL, stockout_day, CASE criticality WHEN 'out_of_stock' THEN 0 WHEN 'critical' THEN 1 ELSE 2 END, suggested DESC, location) AS n
+FROM {alloc_rows} JOIN {alloc_units} USING (product_id) WHERE criticality IN ('out_of_stock', 'critical', 'reorder') AND suggested > 0
+"""
+CTES["alloc_source"] = """
+SELECT product_id, location, region, reserve, f, CAST(floor(greatest(0, coalesce(projected, 0) - reserve) * f + 1e-9) AS BIGINT) AS cap,
+       row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN is_dc THEN 0 WHEN criticality = 'excess' THEN 1 ELSE 2 END, coalesce(projected, 0) DESC, location) AS idx
+FROM {alloc_rows} JOIN {alloc_units} USING (product_id) WHERE criticality IN ('excess', 'ok', 'no_movement', 'source')
+"""
+CTES["alloc_steps"] = """
+SELECT product_id, CAST(0 AS BIGINT) AS n, idx, CAST(0 AS BIGINT) AS given, CAST(0 AS BIGINT) AS taken FROM {alloc_source}
+UNION ALL SELECT product_id, n, idx, given + taken, taken FROM (
+  SELECT a.product_id, d.n, a.idx, a.given, CAST(greatest(0, least(s.cap - a.given, d.missing - coalesce(sum(s.cap - a.given) OVER (PARTITION BY a.product_id ORDER BY CASE WHEN s.region = d.region THEN 0 ELSE 1 END, a.idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken
+  FROM alloc_steps a JOIN {alloc_source} s ON s.product_id = a.product_id AND s.idx = a.idx JOIN {alloc_need} d ON d.product_id = a.product_id AND d.n = a.n + 1)
+"""
+CTES["moves"] = """
+SELECT a.product_id, s.location AS origin, d.location AS destination, a.taken / CAST(s.f AS DOUBLE) AS qty, (s.cap - a.given + a.taken) / CAST(s.f AS DOUBLE) AS free_before, s.reserve
+FROM {alloc_steps} a JOIN {alloc_source} s ON s.product_id = a.product_id AND s.idx = a.idx JOIN {alloc_need} d ON d.product_id = a.product_id AND d.n = a.n WHERE a.taken > 0
+"""
+
+
+@query("F22_J15_O08_rebalancing", """
+SELECT m.*, m.qty * u.unit_cost AS amount, coalesce(u.stockout_day >= 2, TRUE) AS in_time, CAST(u.stockout_day - 2 AS INT) AS slack_days FROM {moves} m JOIN {wh_used} u ON u.product_id = m.product_id AND u.location = m.destination""", "qty free_before reserve amount:2")
 def _(t):
-    return wh_transfers(t)
+    return wh_transfers(t).select("product_id", "origin", "destination", "qty", "free_before", "reserve", "amount", "in_time", "slack_days")
+
+
+CTES["ends"] = """
+SELECT product_id, origin, destination, 'destination' AS side, destination AS location, qty AS move FROM {moves} UNION ALL SELECT product_id, origin, destination, 'origin', origin, -qty FROM {moves}
+"""
+_END = "product_id, origin, destination, side"
+_balance_ctes("moved_balance", f"SELECT {_END}, coalesce(stock, 0) AS opening, coalesce(safety, 0) AS safety, 30 AS win FROM {{ends}} LEFT JOIN {{wh_params}} USING (product_id, location)",
+              f"SELECT {_END}, step, projected AS qty FROM {{ends}} JOIN {{wh_fc}} USING (product_id, location)",
+              f"SELECT {_END}, t, qty FROM {{ends}} JOIN {{wh_events}} USING (product_id, location) UNION ALL SELECT {_END}, 2, move FROM {{ends}}", _END)
+CTES["moved_balance"] = CTES["moved_balance"].replace("CASE WHEN demand <= 0", "CASE WHEN d.demand <= 0")
 
 
-@query("F24_coverage_after_transfer")
+@query("F24_coverage_after_transfer", """
+SELECT product_id, origin, destination, max(coverage) FILTER (side = 'destination') AS coverage_after, max(coverage) FILTER (side = 'origin') AS origin_coverage_after FROM {moved_balance} GROUP BY 1, 2, 3""", "coverage_after:2 origin_coverage_after:2")
 def _(t):
     openings = wh_parameters(t).select(*KEYS, F.coalesce("stock", F.lit(0.0)).alias("opening"), "safety", "window")
     demand = wh_forecasts(t).select(*KEYS, "step", F.col("projected").alias("qty"))
-    return rebalance.coverage_after(wh_transfers(t), openings, demand, wh_events(t).select(*KEYS, "t", "qty"), CFG)
+    rows = rebalance.coverage_after(wh_transfers(t), openings, demand, wh_events(t).select(*KEYS, "t", "qty"), CFG)
+    return rows.select("product_id", "origin", "destination", "coverage_after", "origin_coverage_after")
 
 
 @query("W13_idle_and_recent_days", "SELECT product_id, location, CAST(DATE '2001-08-01' - last_used AS INT) AS days_idle, last_28d, prev_28d FROM {wh_keys} JOIN {wh_flags} USING (product_id, location)", "last_28d prev_28d")

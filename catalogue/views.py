@@ -73,13 +73,12 @@ SELECT CAST(l.l_partkey % 16 AS BIGINT) AS product_id,
        n.n_name AS warehouse,
        concat('L', l.l_partkey % 16, '-', l.l_suppkey % 6) AS lot,
        CAST(TIMESTAMP '2001-06-01 00:00:00' + INTERVAL '1' DAY * CAST((min(l.l_suppkey) * 37 + max(l.l_partkey)) % 500 AS INT) AS TIMESTAMP{ntz}) AS expiry,
-       sum(l.l_quantity) AS qty,
-       sum(CASE WHEN l.l_orderkey % 10 = 0 THEN l.l_quantity ELSE 0.0e0 END) AS reserved,
+       CAST(floor(sum(l.l_quantity) / 80.0e0) AS DOUBLE) AS qty,
+       CAST(floor(sum(CASE WHEN l.l_orderkey % 10 = 0 THEN l.l_quantity ELSE 0.0e0 END) / 80.0e0) AS DOUBLE) AS reserved,
        CASE WHEN l.l_partkey % 16 = 15 AND l.l_suppkey % 6 = 5 THEN 'supplier' ELSE 'internal' END AS usage
 FROM {lineitem} l
 JOIN {supplier} s ON s.s_suppkey = l.l_suppkey
 JOIN {nation} n ON n.n_nationkey = s.s_nationkey
-WHERE l.l_shipdate > TIMESTAMP '2001-07-01 00:00:00' AND l.l_shipdate <= TIMESTAMP '2001-08-01 00:00:00'
 GROUP BY l.l_partkey % 16, n.n_name, l.l_suppkey % 2, l.l_suppkey % 6
 """
 

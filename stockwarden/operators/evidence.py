@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockwarden.config import ConsumptionConfig
@@ -14,6 +14,7 @@ from stockwarden.operators.features import is_night
 from stockwarden.operators.history import typical_cases
 from stockwarden.operators.patterns import days_before, last_moment
 from stockwarden.operators.quantiles import grouped_quantiles
+from stockwarden.session import materialize
 
 #: Kinds of cause that evidence can speak for or against: kind -> (hypothesis, check).
 CAUSES = {
@@ -196,21 +197,44 @@ def compare_periods(lines: DataFrame, target_rows: DataFrame) -> DataFrame:
 ENTITIES = ("product", "hospital", "technician", "doctor", "lot")
 
 
-def _entities(rows: DataFrame, id_column: str) -> DataFrame:
-    values = F.array_compact(F.array(*[F.when(present(F.col(e)), F.col(e)) for e in ENTITIES]))
-    return rows.select(id_column, F.explode(values).alias("entity")).distinct()
+def _entity_sets(rows: DataFrame, id_column: str, *more: Column) -> DataFrame:
+    """Every non-empty set of a row's entities: id, `entities` (sorted), and further columns."""
+    named = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(present(F.col(e)), F.col(e)) for e in ENTITIES]))))
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("named")).cast("int") - 1)
+    sets = F.transform(masks, lambda m: F.filter("named", lambda _, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1))
+    return rows.select(id_column, named.alias("named"), *more).filter(F.size("named") > 0).select(id_column, F.explode(sets).alias("entities"), *[m for m in rows.columns if m == "resolved"])
+
+
+def case_heads(target_sets: DataFrame, cases: DataFrame, top: int) -> DataFrame:
+    """Index: for every set of entities some target has, the newest `top` resolved and the newest `top` other cases that share it.
+
+    The rank limit is applied before the shuffle, so a set that very many cases share costs each task `top` rows.
+    """
+    c = F.col
+    wanted = materialize(target_sets.select("entities").distinct(), "entity-sets")
+    sets = _entity_sets(cases.withColumn("resolved", F.coalesce(c("status") == "resolved", F.lit(False))), "case_id", c("resolved"))
+    return top_per_group(sets.join(wanted, "entities", "left_semi"), ["entities", "resolved"], [F.desc("case_id")], top).drop("rank")
 
 
 def similar_cases(target_rows: DataFrame, cases: DataFrame, top: int = 5) -> DataFrame:
-    """Earlier cases by number of shared entities, two more when resolved. Only the targets' few entities are joined."""
+    """Earlier cases (one row per case_id) by number of shared entities, two more when resolved, newer ones first.
+
+    A target looks up the heads of the sets of its own entities, at most 31 sets and two heads each. That is enough: a case not in
+    the head of the very set it shares has `top` cases before it that share as much, are as resolved, and are newer.
+    """
     c = F.col
-    shared = _entities(cases, "case_id").join(_entities(target_rows, "fingerprint"), "entity").groupBy("fingerprint", "case_id").agg(F.count("*").alias("shared"))
-    scored = shared.join(cases.select("case_id", "status"), "case_id").withColumn("score", c("shared") + F.when(c("status") == "resolved", 2).otherwise(0))
+    own = materialize(_entity_sets(target_rows, "fingerprint"), "target-sets")
+    heads = materialize(case_heads(own, cases, top), "case-heads")
+    score = F.max(F.size("entities") + F.when(c("resolved"), 2).otherwise(0)).cast("long").alias("score")
+    scored = own.join(heads, "entities").groupBy("fingerprint", "case_id").agg(score)
     return top_per_group(scored, ["fingerprint"], [F.desc("score"), F.desc("case_id")], top)
 
 
-def applicable_clarifications(target_rows: DataFrame, notes: DataFrame, limit: int = 10) -> DataFrame:
-    """Statements people made whose scope covers the target: same actor, same product and hospital, or same hospital."""
+def applicable_clarifications(target_rows: DataFrame, notes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Statements people made whose scope covers the target: same actor, same product and hospital, or same hospital.
+
+    With a `limit` the newest of each target.
+    """
     c = F.col
     base = target_rows.select("fingerprint", *ENTITIES)
 
@@ -222,11 +246,17 @@ def applicable_clarifications(target_rows: DataFrame, notes: DataFrame, limit: i
 
     parts = [matched("actor", "technician"), matched("actor", "doctor"), matched("product_hospital", "product", "hospital"), matched("hospital", "hospital")]
     rows = reduce(DataFrame.union, parts).distinct()
-    return top_per_group(rows, ["fingerprint"], [F.desc("note_id")], limit)
+    return rows if limit is None else top_per_group(rows, ["fingerprint"], [F.desc("note_id")], limit)
+
+
+#: Signals of a target, one bit each.
+SIGNALS = {"scale_ok": 1, "scale_off": 2, "no_doctor": 4, "odd_day": 8, "foreign_lot": 16}
+#: Kind of cause -> signals that speak for it, signals that speak against it.
+SPEAKS = {"capture": (2, 1), "loss": (2, 1), "surgery": (8, 0), "incomplete": (4, 0), "move": (16, 0)}
 
 
 def signals(target_rows: DataFrame, readings: DataFrame, history: DataFrame, lots: DataFrame, days: DataFrame) -> DataFrame:
-    """Five yes/no signals per target. An actor history or a day context existing at all is what the last three test."""
+    """The signals of every target as a bit set. An actor history or a day context existing at all is what the last three test."""
     c = F.col
     pct = F.rint("diff_pct")
     scale = readings.groupBy("case_no", "product").agg(F.bool_or(pct <= 0).alias("scale_ok"), F.bool_or(F.abs(pct) > 15).alias("scale_off"))
@@ -237,31 +267,33 @@ def signals(target_rows: DataFrame, readings: DataFrame, history: DataFrame, lot
     rows = target_rows.withColumns({"name": person, "day": c("ts").cast("date")}).join(scale, ["case_no", "product"], "left").join(seen, "name", "left")
     rows = rows.join(known_lots, "lot", "left").join(known_days, ["hospital", "day"], "left")
     flag = lambda x: F.coalesce(c(x), F.lit(False))
-    return rows.select("fingerprint", "methods", flag("scale_ok").alias("scale_ok"), flag("scale_off").alias("scale_off"), (flag("has_actor") | flag("has_day")).alias("no_doctor"),
-                       flag("has_day").alias("odd_day"), flag("has_lot").alias("foreign_lot"))
+    found = {"scale_ok": flag("scale_ok"), "scale_off": flag("scale_off"), "no_doctor": flag("has_actor") | flag("has_day"), "odd_day": flag("has_day"), "foreign_lot": flag("has_lot")}
+    bits = reduce(lambda a, b: a + b, (F.when(found[name], bit).otherwise(0) for name, bit in SIGNALS.items()))
+    return rows.select("fingerprint", "methods", bits.cast("int").alias("signals"))
 
 
 def rank_hypotheses(signal_rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Hypotheses of the target's rules, those with most evidence in favour first; equal texts appear once.
 
-    `table` holds an installation's own (position, rule, hypothesis, check, about); `about` lists kinds of cause by commas.
+    `table` holds an installation's own (position, rule, hypothesis, check, about); `about` lists kinds of cause by commas. A kind
+    is two masks over the signals: evidence is counted by the bits a target's signals share with them.
     """
     c = F.col
     table = default_hypotheses(signal_rows.sparkSession) if table is None else table
+    masks = [F.create_map(*[F.lit(x) for kind, both in SPEAKS.items() for x in (kind, both[side])]) for side in (0, 1)]
+    kinds = F.split("about", ",")
+    looked_up = [F.transform(kinds, lambda k: F.coalesce(F.element_at(masks[0], k), F.lit(0))), F.transform(kinds, lambda k: F.coalesce(F.element_at(masks[1], k), F.lit(0)))]
+    table = table.select("*", looked_up[0].alias("speaks_for"), looked_up[1].alias("speaks_against"))
     rule = F.when(F.startswith(c("method"), F.lit("z_")), "z").otherwise(c("method"))
-    rows = signal_rows.select("*", F.posexplode("methods").alias("method_order", "method")).withColumn("rule", rule)
-    rows = rows.join(table, "rule")
-    about = lambda tag: F.array_contains(F.split("about", ","), tag)
-    one = lambda cond: F.when(cond, 1).otherwise(0)
-    favour = (one(about("capture") & c("scale_off")) + one(about("loss") & c("scale_off")) + one(about("surgery") & c("odd_day"))
-              + one(about("incomplete") & c("no_doctor")) + one(about("move") & c("foreign_lot")))
-    against = one(about("capture") & c("scale_ok")) + one(about("loss") & c("scale_ok"))
-    rows = rows.withColumns({"in_favour": favour, "against": against})
+    rows = signal_rows.select("*", F.posexplode("methods").alias("method_order", "method")).withColumn("rule", rule).join(table, "rule")
+    count = lambda name: F.aggregate(name, F.lit(0), lambda n, m: n + F.bit_count(m.bitwiseAND(c("signals"))))
+    rows = rows.withColumns({"in_favour": count("speaks_for"), "against": count("speaks_against")})
     once = rows.groupBy("fingerprint", "hypothesis").agg(F.min_by(F.struct("check", "in_favour", "against"), F.struct("method_order", "position")).alias("h"),
                                                          F.min(F.struct("method_order", "position")).alias("seen"))
     flat = once.select("fingerprint", "hypothesis", "h.*", "seen")
     plausible = F.when((c("in_favour") > 0) & (c("against") == 0), "high").when((c("against") > 0) & (c("in_favour") == 0), "low").otherwise("medium")
-    return top_per_group(flat.withColumn("plausibility", plausible), ["fingerprint"], [F.desc(c("in_favour") - c("against")), c("seen")], 1 << 30).drop("seen")
+    best = Window.partitionBy("fingerprint").orderBy(F.desc(c("in_favour") - c("against")), "seen")
+    return flat.withColumns({"plausibility": plausible, "rank": F.row_number().over(best)}).drop("seen")
 
 
 def evidence_confidence(target_rows: DataFrame, readings: DataFrame, history: DataFrame, lots: DataFrame, days: DataFrame, mismatch: DataFrame, periods: DataFrame) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockwarden.config import SupplyConfig
-from stockwarden.functions.maths import round_unit
 from stockwarden.functions.text import region, unit_decimals
-from stockwarden.operators.balance import project
 from stockwarden.operators.series import KEYS
+from stockwarden.session import materialize
+
+#: Needs of one product that are served in one round.
+BLOCK = 20_000
 
 
 def regions_of(places: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -37,51 +43,84 @@ def operating_reserve(local: DataFrame, cfg: SupplyConfig) -> DataFrame:
     return rows.withColumn("reserve", reserve).drop("region_demand", "network_demand", "centres")
 
 
-def allocated(rows: DataFrame) -> DataFrame:
-    """Free stock given to needs, product by product; one row per movement.
+_MOVES = "product_id long, origin string, destination string, qty double, free_before double, reserve double, committed_before double, covered_before double, place long"
+
 
-    The needs of a product are folded in order of urgency over what its sources have given so far. For one need, the sources
-    (own region first, then by kind and stock) are folded in turn over what is still missing. Both lists hold a product's
-    locations, never its lines; all steps are array expressions.
+def serve_block(needs: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+    """Movements for some needs of one product, in order of rank, from its sources in order of rank.
+
+    Whole units are counted, so nothing is lost to rounding. A need takes from its own region first, then from the others. Both
+    lists are only ever consumed from the front, so one pass over needs and sources does it.
+    """
+    needs, sources = needs.sort_values("rank"), sources.sort_values("rank")
+    left, places, homes = sources["left"].tolist(), sources["location"].tolist(), sources["region"].tolist()
+    own: dict[str, list[int]] = {}
+    for i, home in enumerate(homes):
+        if home is not None:
+            own.setdefault(home, []).append(i)
+    everywhere, front, moves = list(range(len(left))), {}, []
+    for n, (missing, place, home) in enumerate(zip(needs["missing"].tolist(), needs["location"].tolist(), needs["region"].tolist(), strict=True)):
+        for key, line in ((("own", home), own.get(home, [])), ("all", everywhere)):
+            at = front.get(key, 0)
+            while at < len(line) and left[line[at]] <= 0:
+                at += 1
+            front[key] = at
+            while missing > 0 and at < len(line):
+                i = line[at]
+                if left[i] > 0 and places[i] != place:
+                    qty = min(missing, left[i])
+                    moves.append((n, i, qty, left[i]))
+                    left[i] -= qty
+                    missing -= qty
+                at += 1
+    n, i, qty, before = (np.array(x, np.int64) for x in (zip(*moves, strict=True) if moves else ([], [], [], [])))
+    need, source = needs.iloc[n].reset_index(drop=True), sources.iloc[i].reset_index(drop=True)
+    unit = need["unit_size"]
+    return pd.DataFrame({
+        "product_id": need["product_id"], "origin": source["location"], "destination": need["location"], "qty": qty / unit, "free_before": before / unit, "reserve": source["reserve"],
+        "committed_before": source["committed_out"] + (source["capacity"] - before) / unit, "covered_before": need["committed_in"], "place": source["rank"]})
+
+
+def allocated(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Free stock given to needs by urgency, product by product; one row per movement.
+
+    Needs are served in rounds of at most `block` a product, all products at once. A round meets its needs with the front of the
+    product's sources only, as much of every region as the round could take in all, and what it gave is deducted before the
+    next. So no task sees a whole product, and the result is that of serving one need after the other.
     """
     c = F.col
     urgency = F.when(c("criticality") == "out_of_stock", 0).when(c("criticality") == "critical", 1).when(c("criticality") == "reorder", 2)
-    decimals = F.first("decimals").alias("decimals")
     rows = rows.withColumn("decimals", unit_decimals(c("unit")))
-    asked = rows.filter(urgency.isNotNull() & (c("suggested") > 0)).select("product_id", "decimals", F.struct(
-        c("stockout_day").isNull().alias("never"), "stockout_day", urgency.alias("urgency"), (-c("suggested")).alias("less"), "location", "region",
-        round_unit(F.greatest(F.lit(0.0), c("suggested") - c("committed_in")), c("decimals"), "up").alias("missing"), "committed_in").alias("need"))
+    by_urgency = Window.partitionBy("product_id").orderBy(c("stockout_day").isNull(), "stockout_day", urgency, F.desc("suggested"), "location")
+    size = F.pow(F.lit(10.0), "decimals")
+    asked = rows.filter(urgency.isNotNull() & (c("suggested") > 0))
+    needs = asked.select(
+        c("product_id").cast("long"), F.row_number().over(by_urgency).cast("long").alias("rank"), "location", "region", "committed_in", F.first("decimals").over(by_urgency).alias("decimals"),
+        F.ceil(F.greatest(F.lit(0.0), c("suggested") - c("committed_in")) * size - 1e-9).alias("missing"))
+    needs = materialize(needs.withColumn("unit_size", F.pow(F.lit(10.0), "decimals")), "needs")
+    units = needs.groupBy("product_id").agg(F.first("unit_size").alias("unit_size"), F.max("rank").alias("needs"))
     kind = F.when(c("is_dc"), 0).when(c("criticality") == "excess", 1).otherwise(2)
-    held = rows.filter(c("criticality").isin("excess", "ok", "no_movement", "source")).select("product_id", F.struct(
-        kind.alias("kind"), (-F.coalesce("projected_stock", F.lit(0.0))).alias("less"), "location", "region", "reserve", "committed_out",
-        (F.coalesce("projected_stock", F.lit(0.0)) - c("reserve") - c("committed_out")).alias("free")).alias("source"))
-    needs = asked.groupBy("product_id").agg(decimals, F.sort_array(F.collect_list("need")).alias("needs"))
-    sources = held.groupBy("product_id").agg(F.sort_array(F.collect_list("source")).alias("sources"))
-    met = needs.join(sources, "product_id")
-    digits, holders = c("decimals"), c("sources")
-    move = "struct<origin:string,destination:string,qty:double,free_before:double,reserve:double,committed_before:double,covered_before:double>"
-
-    def serve(state: Column, need: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(holders) - 1)
-        same = lambda i: F.coalesce(F.get(holders, i)["region"] == need["region"], F.lit(False))
-        turn = F.concat(F.filter(places, same), F.filter(places, lambda i: ~same(i)))
-
-        def take(so_far: Column, i: Column) -> Column:
-            source, given = F.get(holders, i), F.get(state["given"], i)
-            spare = round_unit(F.greatest(F.lit(0.0), source["free"] - given), digits, "down")
-            qty = F.when(source["location"] == need["location"], 0.0).otherwise(round_unit(F.least(so_far["missing"], spare), digits, "down"))
-            row = F.struct(source["location"].alias("origin"), need["location"].alias("destination"), qty.alias("qty"), spare.alias("free_before"), source["reserve"].alias("reserve"),
-                           (source["committed_out"] + given).alias("committed_before"), need["committed_in"].alias("covered_before")).cast(move)
-            return F.struct(round_unit(so_far["missing"] - qty, digits).alias("missing"), F.concat(so_far["moves"], F.array(row)).alias("moves"), F.concat(so_far["order"], F.array(i)).alias("order"))
-
-        start = F.struct(need["missing"].alias("missing"), F.array().cast(f"array<{move}>").alias("moves"), F.array().cast("array<int>").alias("order"))
-        served = F.aggregate(turn, start, take)
-        taken = F.transform(state["given"], lambda g, i: g + F.get(served["moves"], F.array_position(served["order"], i).cast("int") - 1)["qty"])
-        return F.struct(taken.alias("given"), F.concat(state["moves"], F.filter(served["moves"], lambda m: m["qty"] > 0)).alias("moves"))
-
-    nothing = F.struct(F.transform(holders, lambda s: F.lit(0.0)).alias("given"), F.array().cast(f"array<{move}>").alias("moves"))
-    moves = F.aggregate("needs", nothing, serve, lambda state: state["moves"])
-    return met.select("product_id", F.explode(moves).alias("m")).select("product_id", "m.*")
+    stock = F.coalesce("projected_stock", F.lit(0.0))
+    by_stock = Window.partitionBy("product_id").orderBy(kind, -stock, "location")
+    held = rows.filter(c("criticality").isin("excess", "ok", "no_movement", "source")).join(units, "product_id")
+    free = F.floor(F.greatest(F.lit(0.0), stock - c("reserve") - c("committed_out")) * c("unit_size") + 1e-9)
+    sources = held.select(c("product_id").cast("long"), F.row_number().over(by_stock).cast("long").alias("rank"), "location", "region", "reserve", "committed_out", free.alias("capacity"))
+    sources = materialize(sources.filter("capacity > 0").withColumn("left", c("capacity")), "sources")
+    most = units.agg(F.max("needs")).first()[0] or 0
+    before = Window.partitionBy("product_id", "region").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    rounds = []
+    for start in range(0, most, block):
+        some = needs.filter((c("rank") > start) & (c("rank") <= start + block) & (c("missing") > 0))
+        want = some.groupBy("product_id").agg(F.sum("missing").alias("want"))
+        near = sources.filter("left > 0").withColumn("ahead", F.coalesce(F.sum("left").over(before), F.lit(0))).join(want, "product_id").filter("ahead < want").drop("ahead", "want")
+        moves = some.groupBy("product_id").cogroup(near.groupBy("product_id")).applyInPandas(serve_block, _MOVES)
+        rounds.append(materialize(moves, "moves"))
+        if start + block < most:
+            given = rounds[-1].join(units, "product_id").groupBy("product_id", c("place").alias("rank")).agg(F.sum(F.rint(c("qty") * c("unit_size"))).cast("long").alias("given"))
+            sources = sources.join(given, ["product_id", "rank"], "left").withColumn("left", c("left") - F.coalesce("given", F.lit(0))).drop("given")
+            sources = materialize(sources, "sources")
+    none = rows.sparkSession.createDataFrame([], _MOVES)
+    return reduce(DataFrame.unionByName, rounds, none).drop("place")
 
 
 def propose_transfers(local: DataFrame, cfg: SupplyConfig, committed_out: DataFrame | None = None, committed_in: DataFrame | None = None) -> DataFrame:
@@ -103,25 +142,41 @@ def propose_transfers(local: DataFrame, cfg: SupplyConfig, committed_out: DataFr
         (q.isNull() | (q >= arrival)).alias("in_time"), (q - arrival).alias("slack_days"))
 
 
+def balance_tracks(keys: DataFrame, openings: DataFrame, demand: DataFrame, events: DataFrame, horizon: int) -> DataFrame:
+    """One row per key of `keys`: its projected balance and demand by day, from day 0 to the horizon, as an array."""
+    c = F.col
+    zero = F.lit(0.0)
+    opening = keys.join(openings.select(*KEYS, "opening"), KEYS, "left")
+    parts = opening.select(*KEYS, F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("t"), F.when(c("t") == 0, F.coalesce("opening", zero)).otherwise(zero).alias("flow"), zero.alias("demand"))
+    parts = parts.unionByName(events.filter(c("t") <= horizon).join(keys, KEYS, "left_semi").select(*KEYS, F.greatest(c("t"), F.lit(0)).alias("t"), c("qty").alias("flow"), zero.alias("demand")))
+    parts = parts.unionByName(demand.filter(c("step") <= horizon).join(keys, KEYS, "left_semi").select(*KEYS, c("step").alias("t"), zero.alias("flow"), c("qty").alias("demand")))
+    days = parts.groupBy(*KEYS, "t").agg(F.sum("flow").alias("flow"), F.sum("demand").alias("demand"))
+    running = Window.partitionBy(*KEYS).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    days = days.withColumn("balance", F.sum(c("flow") - c("demand")).over(running))
+    return days.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("t", "balance", "demand"))).alias("track"), F.sum("demand").alias("demand"))
+
+
+def shifted_coverage(track: Column, demand: Column, move: Column, day: int, horizon: int) -> Column:
+    """Coverage when `move` is added to a stored balance from `day` on: the rest of the projection stays as it is."""
+    balance = lambda x: x["balance"] + F.when(x["t"] >= day, move).otherwise(0.0)
+    short = F.get(F.filter(track, lambda x: balance(x) < -1e-9), F.lit(0))
+    q = short["t"]
+    left = balance(F.get(track, q - 1))
+    partial = (q - 1) + F.when(short["demand"] > 0, left / short["demand"]).otherwise(0.0)
+    return F.when(demand <= 0, F.lit(None)).when(q.isNull(), float(horizon)).when(q == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.round(partial, 2)))
+
+
 def coverage_after(transfers: DataFrame, openings: DataFrame, demand: DataFrame, events: DataFrame, cfg: SupplyConfig) -> DataFrame:
-    """Coverage of both ends of each transfer, by the plan's own projection with the transfer as one more event.
+    """Coverage of both ends of each transfer once it has been made.
 
-    Every transfer is its own small case: its two keys, their demand and events, and the extra movement.
+    Every key that is an end of some transfer is projected once; a transfer only shifts the stored balance from its arrival on.
     """
     c = F.col
     arrival = max(1, round(cfg.internal_lead_time))
-    id_cols = ["product_id", "origin", "destination"]
-    ends = F.array(F.struct(F.lit("destination").alias("end"), c("destination").alias("location"), c("qty").alias("move")),
-                   F.struct(F.lit("origin").alias("end"), c("origin").alias("location"), (-c("qty")).alias("move")))
-    cases = transfers.select(*id_cols, F.explode(ends).alias("e")).select(*id_cols, "e.*")
-    keys = [*id_cols, "end"]
-    mine = lambda df: cases.select(*keys, "location").join(df, KEYS)
-    opening = cases.select(*keys, "location").join(openings, KEYS, "left").select(
-        *keys, F.coalesce("opening", F.lit(0.0)).alias("opening"), F.coalesce("safety", F.lit(0.0)).alias("safety"), F.lit(cfg.horizon).alias("window"))
-    moves = mine(events).select(*keys, "t", c("qty")).unionByName(cases.select(*keys, F.lit(arrival).alias("t"), c("move").alias("qty")))
-    after = project(opening, mine(demand).select(*keys, "step", "qty"), moves, keys, cfg.horizon)
-    wide = after.groupBy(*id_cols).agg(
-        F.max(F.when(c("end") == "destination", c("coverage"))).alias("coverage_after"), F.max(F.when(c("end") == "origin", c("coverage"))).alias("origin_coverage_after"))
-    return transfers.join(wide, id_cols, "left")
-
-
+    ends = transfers.select("product_id", c("origin").alias("location")).union(transfers.select("product_id", "destination")).distinct()
+    tracks = materialize(balance_tracks(ends, openings, demand, events, cfg.horizon), "balance-tracks")
+    out = transfers
+    for end, move, name in (("destination", c("qty"), "coverage_after"), ("origin", -c("qty"), "origin_coverage_after")):
+        side = tracks.select("product_id", c("location").alias(end), c("track").alias("_track"), c("demand").alias("_demand"))
+        out = out.join(side, ["product_id", end], "left").withColumn(name, shifted_coverage(c("_track"), c("_demand"), move, arrival, cfg.horizon)).drop("_track", "_demand")
+    return out.select(*transfers.columns, "coverage_after", "origin_coverage_after")

@@ -131,6 +131,11 @@ def network_forecast(forecast_rows: DataFrame) -> DataFrame:
         *[F.sum(x).alias(x) for x in ("forecast", "lower", "upper", "projected", "agenda")])
 
 
+def daily_by_product(forecast_rows: DataFrame) -> DataFrame:
+    """Planned demand of every product by day; a report turns products into columns where it shows few of them."""
+    return forecast_rows.groupBy("day", "product_id").agg(F.sum("projected").alias("projected"))
+
+
 def network_rows(local: DataFrame, forecast_rows: DataFrame, events: DataFrame, stock: DataFrame, terms: DataFrame, costs: DataFrame, cfg: SupplyConfig) -> DataFrame:
     """One row per product: the network's demand against all usable stock and purchases under way."""
     c = F.col

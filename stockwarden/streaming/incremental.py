@@ -4,53 +4,23 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stockwarden.session import exists, materialize
+from stockwarden.streaming.versioned import ROWS_PER_BUCKET, merge
 
-BUCKETS = 64
+def start_snapshot(stream: DataFrame, path: str, checkpoint: str, key: str, order: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> StreamingQuery:
+    """Merge all available changes into the versioned table at `path`; restarting continues from the checkpoint.
 
-
-def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-
-
-def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per key: the newest by the order columns, reduced map-side."""
-    others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("v")).select(key, *[F.col(f"v.{c}").alias(c) for c in others])
-
-
-def merge_batch(batch: DataFrame, path: str, key: str, order: list[str], buckets: int = BUCKETS) -> None:
-    """Merge one batch. Only the buckets the batch touches are read and rewritten, and replaying a batch changes nothing."""
-    spark = batch.sparkSession
-    fresh = newest(_bucketed(batch, key, buckets), key, order)
-    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
-    if not touched:
-        return
-    merged = fresh
-    if exists(spark, path):
-        stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-        merged = newest(stored.select(*fresh.columns).unionByName(fresh), key, order)
-    # written aside first: the buckets being replaced are also being read
-    ready = materialize(merged, "merge")
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def start_snapshot(stream: DataFrame, path: str, checkpoint: str, key: str, order: list[str], buckets: int = BUCKETS) -> StreamingQuery:
-    """Run the merge over all available changes; restarting continues from the checkpoint."""
+    The checkpoint names the source, so a batch that is replayed after a failure is not merged twice.
+    """
     return (
-        stream.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, path, key, order, buckets))
+        stream.writeStream.foreachBatch(lambda batch, number: merge(batch, path, key, order, rows_per_bucket, checkpoint, number))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
-
-
 def forget(rows: DataFrame, seen: str, as_of: datetime, days: int = 120) -> DataFrame:
     """Rows some run needed within the last `days`."""
     limit = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))

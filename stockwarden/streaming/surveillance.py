@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from collections.abc import Iterator
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stockwarden.config import PENDING_STATES
 from stockwarden.functions.text import alert_fingerprint, fixed, present
@@ -17,20 +20,20 @@ from stockwarden.operators.series import KEYS
 COLUMNS = ("kind", "subject", "value", "limit_value", "fingerprint")
 
 
-def _alert(rows: DataFrame, kind: str, subject: Column, value: Column, limit: Column, *parts: Column) -> DataFrame:
+def _alert(rows: DataFrame, kind: str, subject: Column, value: Column, limit: Column, *parts: Column, more: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(F.lit(kind).alias("kind"), subject.alias("subject"), value.cast("double").alias("value"), limit.cast("double").alias("limit_value"),
-                       alert_fingerprint(*parts).alias("fingerprint"))
+                       alert_fingerprint(*parts).alias("fingerprint"), *more)
 
 
 def _moment(at: datetime) -> Column:
     return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
-def use_without_surgery(lines: DataFrame, as_of: datetime) -> DataFrame:
+def use_without_surgery(lines: DataFrame, as_of: datetime, *more: str) -> DataFrame:
     c = F.col
     recent = lines.filter((c("ts") >= _moment(as_of - timedelta(hours=24))) & (c("ts") <= _moment(as_of)) & is_volatile(narrow=True))
     bare = recent.filter(~present(c("doctor")) | ~F.coalesce(c("duration_min") > 0, F.lit(False)))
-    return _alert(bare, "no_surgery", F.concat_ws(" · ", "product", "case_no", "hospital"), c("qty"), F.lit(0.0), F.lit("sc"), c("case_no"), c("product_id"), fixed(c("qty")))
+    return _alert(bare, "no_surgery", F.concat_ws(" · ", "product", "case_no", "hospital"), c("qty"), F.lit(0.0), F.lit("sc"), c("case_no"), c("product_id"), fixed(c("qty")), more=more)
 
 
 def below_reorder(plan: DataFrame, stock: DataFrame) -> DataFrame:
@@ -73,29 +76,66 @@ def all_alerts(lines: DataFrame, plan: DataFrame, stock: DataFrame, pending: Dat
     return out.groupBy("fingerprint").agg(*[F.min(x).alias(x) for x in COLUMNS[:-1]])
 
 
-def unseen_alerts(alerts: DataFrame, memory: DataFrame, as_of: date, keep_days: int = 90) -> DataFrame:
-    """Alerts whose fingerprint was not raised within the retention; memory is kept by time."""
-    kept = memory.filter(F.col("raised_on") >= F.lit(as_of - timedelta(days=keep_days)))
-    return alerts.join(kept.select("fingerprint"), "fingerprint", "left_anti")
-
-
-def raise_alerts(alerts: DataFrame, memory_path: str, as_of: date, keep_days: int = 90) -> int:
-    """Append the alerts not yet raised and return how many there were."""
-    from stockwarden.session import exists, materialize
-
-    spark: SparkSession = alerts.sparkSession
-    fresh = unseen_alerts(alerts, spark.read.parquet(memory_path), as_of, keep_days) if exists(spark, memory_path) else alerts
-    ready = materialize(fresh.withColumn("raised_on", F.lit(as_of)), "alerts")
-    ready.write.mode("append").parquet(memory_path)
-    return ready.count()
-
-
-def watch_lines(stream: DataFrame, memory_path: str, checkpoint: str, as_of: datetime) -> StreamingQuery:
-    """The first check on a stream of lines: every micro-batch raises its own new alerts."""
-    def check(batch: DataFrame, _: int) -> None:
-        raise_alerts(use_without_surgery(batch, as_of).dropDuplicates(["fingerprint"]), memory_path, as_of.date())
-
-    return stream.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+ALERT = "kind string, subject string, value double, limit_value double, fingerprint string, raised_at timestamp"
+
+
+def raise_once(alerts: DataFrame, keep_days: int = 90, delay: str = "7 days") -> DataFrame:
+    """Of a stream of alerts (columns of `ALERT`) those whose fingerprint was not raised within the `keep_days` before.
+
+    State is one moment per fingerprint, dropped by a timer once the watermark passes its end: work of a micro-batch grows with
+    the batch, and state with the fingerprints of the last `keep_days`. An alert that is held back does not prolong the memory.
+    Alerts later than `delay` behind the newest are dropped.
+    """
+    keep = keep_days * 86_400_000
+    columns = [x.split()[0] for x in ALERT.split(", ")]
+
+    def once(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first: dict[int, tuple] = {}  # the first alert of each day: a fingerprint that fires all the time costs one row a day
+        for batch in batches:
+            for row in batch.sort_values("moment").drop_duplicates("day").itertuples(index=False):
+                if row.day not in first or row.moment < first[row.day].moment:
+                    first[row.day] = row
+        last, out = (state.get[0] if state.exists else None), []
+        for _, row in sorted(first.items()):
+            if last is None or row.moment > last + keep:
+                out.append(row)
+                last = row.moment
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + keep + 1, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame([[getattr(row, c) for c in columns] for row in out], columns=columns)
+
+    moment = F.unix_millis("raised_at")
+    timed = alerts.withWatermark("raised_at", delay).withColumns({"moment": moment, "day": F.floor(moment / 86_400_000)})
+    return timed.groupBy("fingerprint").applyInPandasWithState(once, ALERT, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def start_alerts(alerts: DataFrame, path: str, checkpoint: str, keep_days: int = 90) -> StreamingQuery:
+    """Append the alerts to raise to the table at `path`, by day; a restart goes on from the checkpoint and raises nothing twice."""
+    rows = raise_once(alerts, keep_days).withColumn("raised_on", F.to_date("raised_at"))
+    return rows.writeStream.format("parquet").partitionBy("raised_on").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def raise_alerts(alerts: DataFrame, root: str, as_of: datetime, keep_days: int = 90) -> DataFrame:
+    """Hand a run's alerts to the stream of `root` and return those it raised for this moment.
+
+    `root` holds what runs handed in, the state and what was raised. A run reads its own alerts and their state, not the past.
+    """
+    spark = alerts.sparkSession
+    at = F.lit(as_of.isoformat(sep=" ")).cast("timestamp")
+    alerts.select(*COLUMNS).withColumn("raised_at", at).write.mode("append").parquet(f"{root}/inbox")
+    start_alerts(spark.readStream.schema(ALERT).parquet(f"{root}/inbox"), f"{root}/raised", f"{root}/state", keep_days).awaitTermination()
+    raised = spark.read.schema(f"{ALERT}, raised_on date").parquet(f"{root}/raised")
+    return raised.filter((F.col("raised_on") == F.to_date(at)) & (F.col("raised_at") == at)).drop("raised_on")
+
+
+def watch_lines(stream: DataFrame, path: str, checkpoint: str, as_of: datetime, keep_days: int = 90) -> StreamingQuery:
+    """The first check on a stream of lines: each alert carries its line's time and is raised once."""
+    checked = use_without_surgery(stream, as_of, "ts").withColumn("raised_at", F.col("ts").cast("timestamp")).drop("ts")
+    return start_alerts(checked, path, checkpoint, keep_days)
 
 
 def daily_usage_stream(stream: DataFrame, delay: str = "2 days") -> DataFrame:

@@ -256,7 +256,7 @@ SPEAKS = {"capture": (2, 1), "loss": (2, 1), "surgery": (8, 0), "incomplete": (4
 
 
 def signals(target_rows: DataFrame, readings: DataFrame, history: DataFrame, lots: DataFrame, days: DataFrame) -> DataFrame:
-    """The signals of every target as a bit set. An actor history or a day context existing at all is what the last three test."""
+    """Five yes/no signals per target. An actor history or a day context existing at all is what the last three test."""
     c = F.col
     pct = F.rint("diff_pct")
     scale = readings.groupBy("case_no", "product").agg(F.bool_or(pct <= 0).alias("scale_ok"), F.bool_or(F.abs(pct) > 15).alias("scale_off"))
@@ -267,9 +267,8 @@ def signals(target_rows: DataFrame, readings: DataFrame, history: DataFrame, lot
     rows = target_rows.withColumns({"name": person, "day": c("ts").cast("date")}).join(scale, ["case_no", "product"], "left").join(seen, "name", "left")
     rows = rows.join(known_lots, "lot", "left").join(known_days, ["hospital", "day"], "left")
     flag = lambda x: F.coalesce(c(x), F.lit(False))
-    found = {"scale_ok": flag("scale_ok"), "scale_off": flag("scale_off"), "no_doctor": flag("has_actor") | flag("has_day"), "odd_day": flag("has_day"), "foreign_lot": flag("has_lot")}
-    bits = reduce(lambda a, b: a + b, (F.when(found[name], bit).otherwise(0) for name, bit in SIGNALS.items()))
-    return rows.select("fingerprint", "methods", bits.cast("int").alias("signals"))
+    return rows.select("fingerprint", "methods", flag("scale_ok").alias("scale_ok"), flag("scale_off").alias("scale_off"), (flag("has_actor") | flag("has_day")).alias("no_doctor"),
+                       flag("has_day").alias("odd_day"), flag("has_lot").alias("foreign_lot"))
 
 
 def rank_hypotheses(signal_rows: DataFrame, table: DataFrame | None = None) -> DataFrame:
@@ -279,6 +278,8 @@ def rank_hypotheses(signal_rows: DataFrame, table: DataFrame | None = None) -> D
     is two masks over the signals: evidence is counted by the bits a target's signals share with them.
     """
     c = F.col
+    bits = reduce(lambda a, b: a + b, (F.when(c(name), bit).otherwise(0) for name, bit in SIGNALS.items()))
+    signal_rows = signal_rows.select("fingerprint", "methods", bits.cast("int").alias("signals"))
     table = default_hypotheses(signal_rows.sparkSession) if table is None else table
     masks = [F.create_map(*[F.lit(x) for kind, both in SPEAKS.items() for x in (kind, both[side])]) for side in (0, 1)]
     kinds = F.split("about", ",")

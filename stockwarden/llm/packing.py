@@ -17,6 +17,7 @@ their place. Neither the documents nor a list of them ever leaves the executors.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import zlib
@@ -45,45 +46,90 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _MORE = re.compile("[\x1c-\x1f]")
 
 
+#: Marks that end words; before them a word of letters is a token sequence of its own, and so is a run of them.
+_MARKS = ".,;:!?\"%&*$#|-"
+#: Longer words are forgotten after their batch.
+LONG = 64
+
+
 class WordIds:
-    """Ids of whole texts, looked up word by word: white space always ends a word of this vocabulary and has no id."""
+    """Ids of whole texts, looked up word by word: white space always ends a word of this vocabulary and has no id.
+
+    The new words of a batch are encoded together. Words of letters, and the marks behind them, are each one unit of the
+    vocabulary's splitter, whose last token carries the end-of-word sign: that is where the ids of one word end.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, n in self.tokenizer.get_vocab().items():
+            self.ends[n] = token.endswith("</w>")
 
-    def of(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
+    @staticmethod
+    def _words(text: str | None) -> list[str]:
         if not text:
-            return b""
-        if text.isascii() and "<|" not in text:  # the normaliser lowers these anyway; special tokens are matched before it
-            text = text.lower()
-        words = [w for w in _SPACE.split(text) if w] if _MORE.search(text) else text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.known.__getitem__, words))
-
-    def _learn(self, words: list[str]) -> None:
+            return []
+        if "<|" not in text:  # the normaliser lowers these anyway; special tokens are matched before it
+            if text.isascii():
+                text = text.lower()
+            else:
+                with contextlib.suppress(UnicodeEncodeError):
+                    text.encode("latin-1")
+                    text = text.lower()
+        return [w for w in _SPACE.split(text) if w] if _MORE.search(text) else text.split()
+
+    def of_all(self, texts) -> list[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit numbers."""
+        split = [self._words(t) for t in texts]
         if len(self.known) > REMEMBERED:  # what was used since the last change of generations stays at hand
             self.older, self.known = self.known, {}
-        new = []
-        for w in dict.fromkeys(words):
-            if w not in self.known:
-                if w in self.older:
-                    self.known[w] = self.older[w]
+        known = self.known
+        self._learn([w for w in set().union(*split) if w not in known])
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in [w for w in self.long if w in known]:
+            del known[w]
+        return out
+
+    def of(self, text: str | None) -> bytes:
+        return self.of_all([text])[0]
+
+    def _learn(self, words: list[str]) -> None:
+        known, parts, whole = self.known, {}, []
+        self.long = [w for w in words if len(w) > LONG]
+        for w in words:
+            if w in self.older:
+                known[w] = self.older[w]
+            elif w.isalpha():
+                whole.append(w)
+            else:
+                stem = w.rstrip(_MARKS)
+                if stem.isalpha() or not stem:
+                    parts[w] = (stem, w[len(stem) :])
                 else:
-                    new.append(w)
-        if new:
-            one = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            ends = np.cumsum([len(w) + 1 for w in new])
-            ids, at = np.array(one.ids, "<u4"), np.array(one.offsets, np.int64).reshape(-1, 2)[:, 0]
-            cuts = np.searchsorted(at, ends, side="left").tolist()
-            for w, a, b in zip(new, [0, *cuts[:-1]], cuts, strict=True):
-                self.known[w] = ids[a:b].tobytes()
+                    known[w] = self._ids(w)
+        units = {u for pair in parts.values() for u in pair if u and u not in known} | set(whole)
+        found = dict(self._units(sorted(units)))
+        known.update((w, found[w]) for w in whole)
+        for w, (stem, tail) in parts.items():
+            known[w] = b"".join(found.get(u) or known[u] for u in (stem, tail) if u)
+
+    def _ids(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _units(self, units: list[str]):
+        for at in range(0, len(units), 4096):
+            some = units[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some):
+                raw = ids.tobytes()
+                ends = (4 * cuts).tolist()
+                yield from zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)
+            else:  # a letter that the normaliser turns into more than letters
+                yield from ((u, self._ids(u)) for u in some)
 
 
 @lru_cache(1)
@@ -102,8 +148,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, keep_ids:
         known = word_ids(vocabulary)
         for batch in batches:
             rows = []
-            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                ids = known.of(text) + END.to_bytes(4, "little")
+            columns = [batch.column(c).to_pylist() for c in ("row", "doc_id")]
+            for row, doc, ids in zip(*columns, known.of_all(batch.column("text").to_pylist()), strict=True):
+                ids += END.to_bytes(4, "little")
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((row, doc, n, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<i4")] if keep_ids else [])))

@@ -55,11 +55,12 @@ def _blocks(width: int, k: int, lists: int, bounded: bool):
         if queries.num_rows and rows.num_rows:
             q, v = _read(queries, "asked", width), _read(rows, "vector", width)
             qid, vid = queries["query_id"].to_numpy(), rows["vec_id"].to_numpy()
+            qrow, vrow = queries["query_row"].to_numpy(), rows["row"].to_numpy()
             bound = queries["bound"].to_numpy(zero_copy_only=False).astype(np.float64) if bounded else None
             for at in range(0, len(q), STEP):
                 some = slice(at, at + STEP)
                 partial = [q[some][:, r] @ v[:, r].T for r in runs]  # whole numbers, exact in double precision
-                total, self_ = sum(partial), qid[some][:, None] == vid[None, :]
+                total, self_ = sum(partial), qrow[some][:, None] == vrow[None, :]
                 want = np.zeros(total.shape, bool)
                 for p in partial:
                     if bounded:  # phase 2: entries at the uniform threshold
@@ -90,25 +91,28 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = K, lists: int = LISTS, s
     """For each row whose vec_id is divisible by `every`: query_id, rank, vec_id, score of its `k` best other rows.
 
     Components are floor(scale * x). Vectors that are null or hold null or non-finite components, and rows with a null id,
-    take no part; zero vectors do. A repeated vec_id counts once, with its smallest vector; a query with fewer than `k`
-    candidates gets all of them, and one without any none. Vectors must be of one length.
+    take no part; zero vectors do. Rows that repeat a vec_id are candidates of their own; as a query a repeated id counts once,
+    with its smallest vector, and all other rows are its candidates. A query with fewer than `k` candidates gets all of them,
+    and one without any none. Vectors must be of one length.
     """
     v = F.col("embedding")
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col("vec_id").isNotNull()
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * scale))
     rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("vector"))
-    rows = materialize(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "topk-rows")
-    size = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")).first()
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "topk-rows")  # stored, so a row keeps its number
+    size = rows.agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("vec_id") % every == 0, F.col("vec_id"))).alias("q"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high")).first()
     none = rows.where("false").selectExpr("vec_id as query_id", "1 as rank", "vec_id", "vec_id as score")
     if not size["q"] or not size["high"]:
         return none
     if size["low"] != size["high"]:
         raise ValueError(f"vectors of {size['low']} and of {size['high']} components can't be compared")
     width, n_rows, n_queries = size["high"], math.ceil(size["n"] / ROWS), math.ceil(size["q"] / QUERIES)
-    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    own = lambda n, key="row": F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = rows.withColumn("row_block", own(n_rows)).withColumn("query_block", each(n_queries))
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"), own(n_queries).alias("query_block"))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("vector", "row")).alias("q"))
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("q.vector").alias("asked"), F.col("q.row").alias("query_row"), own(n_queries, "vec_id").alias("query_block"))
+    asked = materialize(asked, "topk-queries")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     heads = _meet(asked.withColumn("row_block", each(n_rows)), candidates, width, k, lists, False)
     kth = heads.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).groupBy("query_id")

@@ -5,13 +5,15 @@ frame (magic number 0x184D2A5D) that holds the dictionary, then every record as
 read from its offset. The first record of each payload (smallest page_id) is a response, the others are revisits that
 name it; both carry the digest and length of the full payload.
 
-Writers name their files after their partition and rename them when whole, so a task that runs twice leaves one file.
+Every attempt of a task names its files differently, and the manifest, which Spark commits, names those of the attempts that count.
+Readers know archives from the manifest alone: what a lost or second attempt leaves behind is never read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 
@@ -27,6 +29,8 @@ MAGIC = 0x184D2A5D
 LEVEL = 3
 #: The dictionary's size, and the records and bytes of each that it is built from.
 DICTIONARY, SAMPLED, SAMPLE_BYTES = 1 << 15, 400, 1 << 14
+#: Where the manifest stands in the folder of the archives.
+MANIFEST = "_manifest"
 #: An archive is closed when it has this many bytes.
 ARCHIVE = 16 << 20
 DATE = "2020-01-01T00:00:00Z"
@@ -129,11 +133,10 @@ def _writer(folder: str, dictionary):
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
 
         def close():
-            name = f"part-{context.partitionId():06d}-{n:04d}.warc.zst"
-            rough = f"{base}/_attempt-{context.taskAttemptId()}-{name}"
-            with store.open_output_stream(rough, compression=None) as out:
+            # No two attempts share a name; only what a committed task reports stands in the manifest.
+            name = f"part-{context.partitionId():06d}-{n:04d}-{uuid.uuid4().hex}.warc.zst"
+            with store.open_output_stream(f"{base}/{name}", compression=None) as out:
                 out.write(b"".join([first_frame(raw), *whole]))
-            store.move(rough, f"{base}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, count, held)], schema=_WRITTEN)
 
         for batch in batches:
@@ -175,7 +178,20 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     refers = F.lit(None).cast("long") if met is keyed else F.when(F.col("page_id") != F.col("first"), F.col("first")).when(F.col("page_id").isNull(), F.col("first"))
     rows = met.select(F.col("page_id").cast("long").alias("page_id"), "url", "payload", "digest", refers.cast("long").alias("refers_to"), F.monotonically_increasing_id().alias("row"))
     _make(folder)
-    return materialize(rows.mapInArrow(_writer(folder, dictionary), "archive string, records long, bytes long"), "warc-manifest")
+    rows.mapInArrow(_writer(folder, dictionary), "archive string, records long, bytes long").write.parquet(f"{folder}/{MANIFEST}")
+    return manifest(spark, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The archives of a folder that were written whole: (archive, records, bytes). Files of lost attempts are not among them."""
+    return spark.read.schema("archive string, records long, bytes long").parquet(f"{folder}/{MANIFEST}")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` as a URI; without a scheme it belongs to the cluster's default file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return re.sub(r"^file:/+", "file:///", whole)
 
 
 def _make(folder: str) -> None:
@@ -191,13 +207,18 @@ _READ = pa.schema(
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """One row per record of the archives in `folder`: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
+    """One row per record of the archives that the manifest of `folder` names: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
 
     def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for k in range(batch.num_rows):
+            for name in batch.column("archive").to_pylist():
+                with store.open_input_stream(f"{base}/{name}", compression=None) as archive:
+                    content = archive.read()
                 rows = []
-                for data in split_frames(batch.column("content")[k].as_py())[1]:
+                for data in split_frames(content)[1]:
                     row = parse(data)
                     rows.append(row if payloads else (*row[:-1], None))
                     if len(rows) == 1000:
@@ -206,9 +227,11 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                 if rows:
                     yield _batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
+    names = manifest(spark, folder).select("archive")
+    # One row is one archive: without a count of its own, all of these few bytes would go to one task.
+    parts = max(1, min(names.count(), 8 * spark.sparkContext.defaultParallelism))
     kinds = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return files.mapInArrow(run, kinds)
+    return names.repartition(parts, "archive").mapInArrow(run, kinds)
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -218,8 +241,7 @@ def _batch(rows) -> pa.RecordBatch:
 def archived(pages: DataFrame) -> DataFrame:
     """Archive `pages` in a new folder of the shared place and read the archives back, without the payloads."""
     spark = pages.sparkSession
-    place = shared_dir(spark)
-    folder = f"{place if '://' in place else 'file://' + place}/warc-{uuid.uuid4().hex}"
+    folder = f"{qualified(spark, shared_dir(spark))}/warc-{uuid.uuid4().hex}"
     written = write_archives(pages, folder)
     if written.isEmpty():
         return spark.createDataFrame([], "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long").select("*")

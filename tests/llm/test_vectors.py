@@ -101,17 +101,18 @@ def test_a_thin_sample_still_splits_every_leaf():
 
 
 def slow_top(rows, every, k):
-    own = {}
+    own = []
     for i, v, _ in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            whole = [int(np.floor(256 * float(np.float32(x)))) for x in v]
-            own[i] = min(own.get(i, whole), whole)
-    out = set()
-    for q in own:
-        if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(own[q], own[c], strict=True)), c) for c in own if c != q)
-            out |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:k])}
-    return out
+            own.append((i, [int(np.floor(256 * float(np.float32(x)))) for x in v]))
+    out = []
+    for q in {i for i, _ in own if i % every == 0}:
+        asked = min(v for i, v in own if i == q)
+        others = [*own]
+        others.remove((q, asked))  # every row but the query's own
+        scored = sorted((-sum(a * b for a, b in zip(asked, v, strict=True)), i) for i, v in others)
+        out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:k])]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("blocks", [(8192, 2048), (37, 3)])
@@ -120,14 +121,15 @@ def test_top_k_equals_brute_force_with_ties(spark, monkeypatch, blocks):
     monkeypatch.setattr(topk, "QUERIES", blocks[1])
     data = np.random.default_rng(4).integers(-3, 4, (220, 6)) / 256
     rows = [(k, v.tolist(), 1) for k, v in enumerate(data)]
+    rows += [(20, data[20].tolist(), 1), (30, data[31].tolist(), 1), (40, [2.0] * 6, 1), (11, [3.0, 3.0, -3.0, 1.0, 0.5, 2.0], 1)]
     rows += [(300, None, 1), (350, [float("nan")] * 6, 1), (400, [None] * 6, 1), (None, [1.0] * 6, 1), (500, [0.0] * 6, 1), (7, data[7].tolist(), 1), (9, data[8].tolist(), 1)]
-    got = {tuple(r) for r in topk.top_k(table(spark, rows), every=10).select("query_id", "rank", "vec_id", "score").collect()}
+    got = sorted(tuple(r) for r in topk.top_k(table(spark, rows), every=10).select("query_id", "rank", "vec_id", "score").collect())
     assert got == slow_top(rows, 10, 5)
 
 
 def test_fewer_candidates_than_k_and_none(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [0.5, 1.0], 1), (50, [-1.0, 1.0], 1)]
-    got = {tuple(r) for r in topk.top_k(table(spark, rows)).select("query_id", "rank", "vec_id", "score").collect()}
+    got = sorted(tuple(r) for r in topk.top_k(table(spark, rows)).select("query_id", "rank", "vec_id", "score").collect())
     assert got == slow_top(rows, 50, 5)
     assert topk.top_k(table(spark, [])).count() == 0
     assert topk.top_k(table(spark, [(0, [1.0], 1)])).count() == 0

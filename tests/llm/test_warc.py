@@ -75,3 +75,18 @@ def test_a_changed_payload_is_noticed():
     except ValueError:
         return
     raise AssertionError
+
+
+def test_files_of_a_lost_attempt_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>page {k % 7}</p>") for k in range(40)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    warc.write_archives(pages, folder)
+    written = sorted(Path(tmp_path, "w").glob("*.warc.zst"))
+    Path(tmp_path, "w", "part-000000-0000-of-another-attempt.warc.zst").write_bytes(written[0].read_bytes())
+    Path(tmp_path, "w", "part-000001-0000-cut-short.warc.zst").write_bytes(written[0].read_bytes()[:100])
+    assert sorted(r.page_id for r in warc.read_archives(spark, folder).collect()) == list(range(40))
+    assert warc.manifest(spark, folder).count() == len(written)
+
+
+def test_a_path_without_scheme_is_of_the_default_file_system(spark):
+    assert warc.qualified(spark, "/tmp/x") == "file:///tmp/x" and warc.qualified(spark, "file:///tmp/x") == "file:///tmp/x"

@@ -8,8 +8,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from catalogue.registry import CTES, query
+from catalogue.views import stored
 from stockwarden.functions.text import contains_text
-from stockwarden.operators import adhoc, history
+from stockwarden.operators import adhoc, history, lattice
 from stockwarden.session import shared_dir
 from stockwarden.sources.stock import usable_stock
 
@@ -21,10 +22,14 @@ FROM {consumption}
 """
 
 
+def case_lattice_of(t):
+    return stored(t.spark, t.folder, "case-lattice", lambda: lattice.case_lattice(t.consumption))
+
+
 @query("A02_group_by_hospital_month", "SELECT hospital, strftime(ts, '%Y-%m') AS month, sum(qty) AS qty, sum(amount) AS amount, count(DISTINCT case_no) AS cases, count(*) AS lines FROM {consumption} GROUP BY 1, 2",
        "qty amount:2")
 def _(t):
-    return adhoc.group_lines(t.consumption, ["medical_unit", "month"])
+    return lattice.rolled_up(case_lattice_of(t), "hospital_month").select("hospital", "month", "qty", "amount", "cases", "lines").orderBy(F.desc("qty"))
 
 
 @query("A02_group_by_product_technician_day", "SELECT product, technician, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, sum(qty) AS qty, sum(amount) AS amount, count(DISTINCT case_no) AS cases, count(*) AS lines FROM {consumption} GROUP BY 1, 2, 3",
@@ -80,7 +85,7 @@ def _(t):
 @query("A05_overview", "SELECT count(*) AS lines, count(DISTINCT case_no) AS cases, count(DISTINCT product_id) AS products, count(DISTINCT hospital) AS hospitals, sum(qty) AS qty, sum(amount) AS amount FROM {consumption}",
        "qty amount:2")
 def _(t):
-    return adhoc.overview(t.consumption)
+    return lattice.whole_overview(case_lattice_of(t), t.consumption)
 
 
 @query("A05_O05_top_products", "SELECT product, sum(qty) AS qty FROM {consumption} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", "qty")
@@ -101,7 +106,7 @@ def _(t):
 @query("A08_monthly_series", "SELECT month, sum(amount) AS amount, count(DISTINCT case_no) AS cases, count(*) AS lines, sum(CASE WHEN volatile THEN qty ELSE 0 END) AS volatile_ml FROM {enriched} GROUP BY 1",
        "amount:2 volatile_ml")
 def _(t):
-    return history.monthly(t.consumption)
+    return lattice.monthly_cases(case_lattice_of(t))
 
 
 CTES["trend_months"] = """
@@ -127,7 +132,7 @@ SELECT *, 100 * (amount / nullif(amount_prev, 0) - 1) AS change_pct, amount / nu
          count(DISTINCT case_no) FILTER (ts <= today - INTERVAL '30' DAY AND ts > today - INTERVAL '60' DAY) AS cases_prev FROM {enriched} GROUP BY 1)""",
        "amount:2 amount_prev:2 change_pct amount_per_case:6 amount_per_case_prev:6")
 def _(t):
-    return history.hospital_comparison(t.consumption)
+    return lattice.compared_hospitals(case_lattice_of(t))
 
 
 @query("A11_seasonality", """

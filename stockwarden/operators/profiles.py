@@ -63,15 +63,15 @@ def build_profiles(lines: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"), F.min("value").alias("min"),
         F.max("value").alias("max"), F.min("label").alias("label"), F.min("unit").alias("unit"),
     ).filter("n >= 3")
+    # Groups get a number once (they are stored, so they keep it): from here on rows are a number, a value and a count.
+    first = materialize(first.withColumn("group", F.monotonically_increasing_id()), "profile-groups")
+    values = materialize(counts.select(*keys, "value", F.col("n").alias("k")).join(first.select(*keys, "group", "mean"), keys).select("group", "mean", "value", "k"), "profile-values")
     probs = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-    centred = first.join(quantiles_of_counts(counts.select(*keys, "value", "n"), keys, "value", probs).drop("total"), keys)
-    centred = materialize(centred, "profile-centres")
-    spread = counts.select(*keys, "value", F.col("n").alias("k")).join(centred.select(*keys, "mean", "median"), keys)
-    deviations = spread.groupBy(*keys, F.abs(F.col("value") - F.col("median")).alias("deviation")).agg(F.sum("k").alias("n"))
-    mads = quantiles_of_counts(deviations, keys, "deviation", {"mad": 0.5}).select(*keys, "mad")
-    squares = spread.groupBy(*keys).agg(
-        F.sqrt(F.sum(F.col("k") * F.pow(F.col("value") - F.col("mean"), 2)) / (F.sum("k") - 1)).alias("sd"))
-    return centred.join(mads, keys).join(squares, keys).select(
+    centres = materialize(quantiles_of_counts(values.select("group", "value", F.col("k").alias("n")), ["group"], "value", probs).drop("total"), "profile-centres")
+    deviations = values.join(centres.select("group", "median"), "group").groupBy("group", F.abs(F.col("value") - F.col("median")).alias("deviation")).agg(F.sum("k").alias("n"))
+    mads = quantiles_of_counts(deviations, ["group"], "deviation", {"mad": 0.5}).select("group", "mad")
+    squares = values.groupBy("group").agg(F.sqrt(F.sum(F.col("k") * F.pow(F.col("value") - F.col("mean"), 2)) / (F.sum("k") - 1)).alias("sd"))
+    return first.join(centres, "group").join(mads, "group").join(squares, "group").select(
         "scope", profile_key(F.col("product_id"), F.col("entity")).alias("key"), "metric", "product_id", "entity", "label", "n",
         "mean", "median", "mad", "sd", "p05", "p25", "p75", "p95", "min", "max",
         F.when(F.col("metric") == "rate", "mL/min").otherwise(F.col("unit")).alias("unit"),

@@ -197,12 +197,12 @@ def compare_periods(lines: DataFrame, target_rows: DataFrame) -> DataFrame:
 ENTITIES = ("product", "hospital", "technician", "doctor", "lot")
 
 
-def _entity_sets(rows: DataFrame, id_column: str, *more: Column) -> DataFrame:
+def _entity_sets(rows: DataFrame, id_column: str, *more: str) -> DataFrame:
     """Every non-empty set of a row's entities: id, `entities` (sorted), and further columns."""
     named = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(present(F.col(e)), F.col(e)) for e in ENTITIES]))))
     masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("named")).cast("int") - 1)
     sets = F.transform(masks, lambda m: F.filter("named", lambda _, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1))
-    return rows.select(id_column, named.alias("named"), *more).filter(F.size("named") > 0).select(id_column, F.explode(sets).alias("entities"), *[m for m in rows.columns if m == "resolved"])
+    return rows.select(id_column, named.alias("named"), *more).filter(F.size("named") > 0).select(id_column, F.explode(sets).alias("entities"), *more)
 
 
 def case_heads(target_sets: DataFrame, cases: DataFrame, top: int) -> DataFrame:
@@ -212,7 +212,7 @@ def case_heads(target_sets: DataFrame, cases: DataFrame, top: int) -> DataFrame:
     """
     c = F.col
     wanted = materialize(target_sets.select("entities").distinct(), "entity-sets")
-    sets = _entity_sets(cases.withColumn("resolved", F.coalesce(c("status") == "resolved", F.lit(False))), "case_id", c("resolved"))
+    sets = _entity_sets(cases.withColumn("resolved", F.coalesce(c("status") == "resolved", F.lit(False))), "case_id", "resolved")
     return top_per_group(sets.join(wanted, "entities", "left_semi"), ["entities", "resolved"], [F.desc("case_id")], top).drop("rank")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockwarden.config import ConsumptionConfig
 from stockwarden.functions.text import present
 from stockwarden.operators.quantiles import grouped_quantiles
+from stockwarden.session import materialize
 
 COLUMNS = (
     "rule", "severity", "product_id", "product", "dimension", "key", "hospital", "actor", "recent_value", "base_value", "ratio",
@@ -42,20 +43,28 @@ def level_shifts(lines: DataFrame, flagged: DataFrame, cfg: ConsumptionConfig) -
     longest = 2 * cfg.recent_days + cfg.base_days
     bounded = bounded.filter(c("ts") > c("today") - F.make_dt_interval(F.lit(longest)))
     bounded = bounded.withColumn("key", F.when(c("dimension") == "sublocation", c("sublocation")).otherwise(c("hospital")))
-    spans = F.array(F.lit(cfg.recent_days), F.lit(2 * cfg.recent_days))
-    staged = _marked(bounded, flagged).withColumn("window_days", F.explode(spans))
-    start = c("today") - F.make_dt_interval(c("window_days"))
-    staged = staged.withColumn("recent", c("ts") > start).filter(
-        c("recent") | (c("ts") > c("today") - F.make_dt_interval(c("window_days") + cfg.base_days)))
-    keys = ["product_id", "key", "dimension", "window_days"]
-    medians = grouped_quantiles(staged.select(*keys, "recent", "rate"), [*keys, "recent"], "rate", {"m": 0.5})
+    # Both windows are cut from the same sums: a line's part in them is four bits, and lines are summed once by key, bits and rate.
+    spans = (cfg.recent_days, 2 * cfg.recent_days)
+    after = lambda days: c("ts") > c("today") - F.make_dt_interval(F.lit(days))
+    bits = sum((F.when(cond, 1 << n).otherwise(0) for n, cond in enumerate(x for d in spans for x in (after(d), after(d + cfg.base_days)))), F.lit(0))
+    place = ["product_id", "key", "dimension"]
+    summed = _marked(bounded, flagged).groupBy(*place, bits.alias("bits"), "rate").agg(
+        F.count("*").alias("n"), F.count("qty").alias("n_qty"), F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.sum(F.when(c("fresh"), c("qty"))).alias("fresh"),
+        F.min("product").alias("product"), F.min("hospital").alias("hospital"))
+    summed = materialize(summed, "level-sums")
+    part = lambda k, d: F.struct(F.lit(d).alias("window_days"), (c("bits").bitwiseAND(1 << 2 * k) > 0).alias("recent"), (c("bits").bitwiseAND(2 << 2 * k) > 0).alias("inside"))
+    staged = summed.withColumn("w", F.explode(F.filter(F.array(*[part(k, d) for k, d in enumerate(spans)]), lambda w: w["inside"]))).select(*summed.columns, "w.window_days", "w.recent")
+    keys = [*place, "window_days"]
+    medians = grouped_quantiles(staged, [*keys, "recent"], "rate", {"m": 0.5}, "n")
     medians = medians.groupBy(*keys).agg(F.max(F.when(c("recent"), c("m"))).alias("rate_recent"), F.max(F.when(~c("recent"), c("m"))).alias("rate_base"))
     r, b = c("recent"), ~c("recent")
+    total = lambda cond, x: F.sum(F.when(cond, c(x)))
+    many = lambda cond, x: F.coalesce(total(cond, x), F.lit(0))
+    rated = c("rate").isNotNull()
     sums = staged.groupBy(*keys).agg(
-        F.count_if(r).alias("lines_recent"), F.count_if(b).alias("lines_base"), F.count(F.when(r, c("rate"))).alias("rates_recent"),
-        F.count(F.when(b, c("rate"))).alias("rates_base"), F.avg(F.when(r, c("qty"))).alias("qty_recent"), F.avg(F.when(b, c("qty"))).alias("qty_base"),
-        F.sum(F.when(r, c("amount"))).alias("amount"), F.sum(F.when(r, c("qty"))).alias("qty"),
-        F.coalesce(F.sum(F.when(r & c("fresh"), c("qty"))), F.lit(0.0)).alias("fresh_qty"),
+        many(r, "n").alias("lines_recent"), many(b, "n").alias("lines_base"), many(r & rated, "n").alias("rates_recent"), many(b & rated, "n").alias("rates_base"),
+        (total(r, "qty") / F.nullif(total(r, "n_qty"), F.lit(0))).alias("qty_recent"), (total(b, "qty") / F.nullif(total(b, "n_qty"), F.lit(0))).alias("qty_base"),
+        total(r, "amount").alias("amount"), total(r, "qty").alias("qty"), F.coalesce(total(r, "fresh"), F.lit(0.0)).alias("fresh_qty"),
         F.min(F.when(r, c("product"))).alias("product"), F.min(F.when(r, c("hospital"))).alias("hospital"),
     )
     by_rate = (c("rates_recent") >= 6) & (c("rates_base") >= 10)

@@ -12,6 +12,7 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SAMPLE = [
     "A02_group_by_hospital_month", "S07_usable_stock", "J01_line_header_join", "A01_profiles", "R_FUSE_findings", "R10_W03_level_shifts", "F12_backtest_choice", "F18_P19_local_replenishment",
     "F21_W06_J13_expiry_risk", "A26_J18_commitments_ledger", "J24_recheck", "D12_feedback_thresholds", "X01_incremental_snapshot",
+    "A12_U03_C16_risk_index", "A10_hospital_comparison", "F22_J15_O08_rebalancing", "F24_coverage_after_transfer", "F28_J27_material_changes", "D08_J21_similar_cases", "D10_hypotheses", "X04_alert_once",
 ]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalogue.registry import CTES, query
 from catalogue.supply import CFG, END, KEYS, _balance_ctes, wh_events, wh_forecasts, wh_lines, wh_local, wh_plan, wh_transfers
 from stockwarden.config import Policy
-from stockwarden.operators import classes, history, ledger, replenish, scenario
+from stockwarden.operators import adhoc, classes, history, ledger, replenish, scenario
 from stockwarden.sources import catalog
 from stockwarden.sources.stock import usable_stock
 
@@ -159,10 +159,8 @@ want AS (SELECT DISTINCT lower(hospital) AS name FROM {consumption} UNION SELECT
 c AS (SELECT w.name, i.location_id, CASE WHEN i.name = w.name THEN 0 WHEN lower(i.name) = lower(w.name) THEN 1 WHEN ends_with(lower(i.name), '/' || lower(w.name)) THEN 2 END AS tier FROM want w JOIN ids i ON lower(i.name) = lower(w.name) OR ends_with(lower(i.name), '/' || lower(w.name)))
 SELECT name, location_id, CAST(tier AS INT) AS tier FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, location_id) AS rn FROM c) WHERE rn = 1""")
 def _(t):
-    from pyspark.sql import Window
-
     names = t.consumption.select(F.col("sublocation").alias("name")).union(t.consumption.select("hospital")).union(t.nation.select(F.concat(F.lit("WARD/"), "n_name"))).distinct()
-    places = names.withColumn("location_id", F.row_number().over(Window.orderBy("name")))
+    places = adhoc.numbered(names, "name", "location_id").withColumn("location_id", F.col("location_id").cast("int"))
     extra = t.nation.select(F.explode(F.array(F.lit("or"), F.lit("nation_3"))).alias("name"))
     wanted = t.consumption.select(F.lower("hospital").alias("name")).union(t.consumption.select("sublocation")).union(extra).distinct()
     return ledger.resolve_locations(wanted, places)

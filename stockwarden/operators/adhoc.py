@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockwarden.functions.dates import month_key
 from stockwarden.functions.text import contains_text
+from stockwarden.session import materialize
 
 # Other names a caller may use for a grouping column.
 ALIASES = {
@@ -77,6 +78,19 @@ def top_by_quantity(lines: DataFrame, dimension: str, n: int = 10) -> DataFrame:
     return lines.groupBy(dimension).agg(F.sum("qty").alias("qty")).orderBy(F.desc("qty"), dimension).limit(n)
 
 
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Rows numbered from 1 in the order of a column, without a window over all of them.
+
+    Rows are sorted by ranges; a row's number is its place in its range plus the rows of the ranges before, one number a range.
+    """
+    placed = materialize(rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumns({"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_rows"))
+    earlier = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("_range", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    return placed.join(ranges, "_range").withColumn(name, F.col("_before") + F.col("_place") + 1).select(*rows.columns, name)
+
+
 def with_total_row(table: DataFrame, by: str, *values: str) -> DataFrame:
     """Grouped sums plus one total row, in a single pass."""
     return (

@@ -40,3 +40,11 @@ def test_no_lines(lines):
     made = lattice.case_lattice(lines.limit(0))
     assert lattice.rolled_up(made, "month").count() == 0
     assert lattice.rolled_up(made, "all").first()["cases"] == 0
+
+
+def test_numbers_follow_the_order(spark):
+    names = [f"n{k:05d}" for k in range(3000)]
+    rows = spark.createDataFrame([(n,) for n in random.Random(2).sample(names, len(names))], "name string").repartition(7)
+    got = {r["name"]: r["at"] for r in adhoc.numbered(rows, "name", "at").collect()}
+    assert got == {n: k for k, n in enumerate(names, 1)}
+    assert adhoc.numbered(rows.limit(0), "name", "at").count() == 0

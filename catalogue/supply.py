@@ -500,7 +500,7 @@ def _(t):
     return replenish.network_forecast(wh_forecasts(t))
 
 
-@query("A33_forecast_pivot", "SELECT day, product_id, sum(projected) AS projected FROM {wh_fc} GROUP BY 1, 2", "projected")
+@query("A33_forecast_pivot", "SELECT product_id, step, day, sum(projected) AS projected FROM {wh_fc} GROUP BY 1, 2, 3", "projected")
 def _(t):
     return replenish.daily_by_product(wh_forecasts(t))
 

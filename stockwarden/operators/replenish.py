@@ -133,7 +133,7 @@ def network_forecast(forecast_rows: DataFrame) -> DataFrame:
 
 def daily_by_product(forecast_rows: DataFrame) -> DataFrame:
     """Planned demand of every product by day; a report turns products into columns where it shows few of them."""
-    return forecast_rows.groupBy("day", "product_id").agg(F.sum("projected").alias("projected"))
+    return forecast_rows.groupBy("product_id", "step", "day").agg(F.sum("projected").alias("projected"))
 
 
 def network_rows(local: DataFrame, forecast_rows: DataFrame, events: DataFrame, stock: DataFrame, terms: DataFrame, costs: DataFrame, cfg: SupplyConfig) -> DataFrame:

@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -137,6 +138,18 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+#: Bytes of the texts whose words are held as Python objects at once.
+TOGETHER = 1 << 21
+
+
+def _slices(batch: pa.RecordBatch):
+    """The batch in runs of rows of about TOGETHER bytes of text, one row at least."""
+    sizes = np.cumsum([0 if n is None else n for n in pc.binary_length(batch.column("text")).to_pylist()])
+    ends = np.flatnonzero(np.diff(sizes // TOGETHER)) + 1
+    for at, end in zip([0, *ends.tolist()], [*ends.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(at, end - at)
+
+
 _PIECES = [("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
 
@@ -146,7 +159,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, keep_ids:
 
     def cut(batches):
         known = word_ids(vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             rows = []
             columns = [batch.column(c).to_pylist() for c in ("row", "doc_id")]
             for row, doc, ids in zip(*columns, known.of_all(batch.column("text").to_pylist()), strict=True):

@@ -95,3 +95,16 @@ def test_odd_rows(spark):
     assert all(r.length == 1 and r.ids_crc32 == zlib.crc32(b"\1\0\0\0") for r in blank) and len(blank) == 3
     assert sum(r.doc_id == 1 for r in rows) == 2
     assert packing.pack(no_docs(spark), vocabulary()).count() == 0
+
+
+def test_few_texts_are_split_into_words_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "TOGETHER", 1000)
+    texts = [None, "a" * 400, "b" * 400, "c" * 5000, "", None, "d" * 300, "e" * 900, "f"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(9)), "text": pa.array(texts, pa.string())})
+    parts = [p.column("text").to_pylist() for p in packing._slices(batch)]
+    assert sum(parts, []) == texts and all(parts)
+    assert all(len(p) == 1 or sum(len(t or "") for t in p[1:]) <= 1000 for p in parts) and len(parts) >= 4
+    assert [p.num_rows for p in packing._slices(batch.slice(0, 0))] == [0]
+    assert [p.num_rows for p in packing._slices(batch.slice(0, 1))] == [1]

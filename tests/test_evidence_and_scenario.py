@@ -118,3 +118,31 @@ def test_demand_and_delay(small_plan):
     assert lost.count() == 0 or lost.filter(F.col("location") != "N/OR").count() == 0
     more = events.unionByName(events)
     assert scenario.simulate(local, rows, more, scenario.Scenario("late", {"n/or": 1.6}, {"po1": 30}), CFG).count() == 1
+
+
+def test_clarifications_of_repeated_targets_and_notes_appear_once(spark):
+    names = "technician string, doctor string, product string, hospital string, lot string"
+    targets = [("a", "T1", "D1", "p", "H1", ""), ("a", "T2", "D2", "p", "H2", ""), ("b", "T1", "D1", "p", "H1", ""), ("b", "T1", "D1", "p", "H1", ""), ("c", "T1", "D2", "q", "H2", "x"), ("d", None, "D1", None, None, None), (None, "T2", "", "", "H1", "")]
+    notes = [(1, "actor", "T1", "D2", "", "", ""), (2, "actor", "T1", "D1", "", "", ""), (3, "hospital", "", "", "", "H1", ""), (3, "actor", "T2", "", "", "", ""), (3, "actor", "T2", "", "", "", ""),
+             (4, "product_hospital", "", "", "p", "H2", ""), (5, "hospital", None, None, None, None, None), (6, "case", "T1", "D1", "p", "H1", ""), (None, "hospital", "", "", "", "H2", ""), (7, "actor", None, "D2", None, None, None)]
+    t, n = spark.createDataFrame(targets, "fingerprint string, " + names), spark.createDataFrame(notes, "note_id long, scope string, " + names)
+    need = set()
+    for f, tech, doc, product, hospital, _ in targets:
+        for note, scope, *own in notes:
+            actor = (own[0] and own[0] == tech) or (own[1] and own[1] == doc)
+            here = own[3] and own[3] == hospital
+            if (scope == "actor" and actor) or (scope == "hospital" and here) or (scope == "product_hospital" and here and own[2] and own[2] == product):
+                need.add((f, note))
+    got = [tuple(r) for r in evidence.applicable_clarifications(t, n).collect()]
+    assert len(got) == len(set(got)) and set(got) == need and len(need) > 10
+    assert evidence.applicable_clarifications(t, n, 1).count() == len({f for f, _ in need})
+
+
+def test_clarifications_are_not_shuffled_as_pairs(spark):
+    """Pairs leave the join as they are; the only rows that are made distinct are those of repeated keys, here none."""
+    names = "technician string, doctor string, product string, hospital string, lot string"
+    t = spark.createDataFrame([(f"f{k}", "", "", "", "H", "") for k in range(300)], "fingerprint string, " + names)
+    n = spark.createDataFrame([(k, "hospital", "", "", "", "H", "") for k in range(200)], "note_id long, scope string, " + names)
+    rows = evidence.applicable_clarifications(t, n)
+    assert rows.count() == 60_000
+    assert rows._jdf.queryExecution().optimizedPlan().toString().startswith("Union")

@@ -88,3 +88,16 @@ def test_few_demand_days_are_insufficient(spark, tables):
     stock = usable_stock(tables.quants, datetime(2001, 8, 1))
     plan = run_supply(tables.history, stock, wh_pending(tables), tables.schedule, cfg)["plan"]
     assert {r["method"] for r in plan.filter("level = 'local'").select("method").distinct().collect()} <= {"insufficient", "no local consumption"}
+
+
+def test_only_lines_with_a_repeated_hash_are_compared(spark, monkeypatch):
+    rows = [("a", "C1", 1, 2.0, 5), ("b", "C1", 1, 2.0, 5), ("c", "C1", 1, 2.0, 6), (None, "C1", 1, 2.0, 5), ("d", None, 1, 2.0, 5), ("e", None, 1, 2.0, 5), ("f", "C2", 1, 0.0, 5), ("g", "C2", 1, -0.0, 5),
+            ("h", "C3", 1, float("nan"), 5), ("i", "C3", 1, float("nan"), 5), ("j", "C4", None, 1.0, 5), ("k", "C4", None, 1.0, 5), ("b", "C1", 1, 2.0, 5)]
+    rows += [(f"x{k:03d}", f"X{k}", 1, 2.0, 5) for k in range(500)]
+    lines = spark.createDataFrame(rows, "line_id string, case_no string, product_id long, qty double, t int").selectExpr(
+        "line_id", "case_no", "product_id", "qty", "cast(timestamp_seconds(t) as timestamp_ntz) as ts")
+    held, old = {}, rules.materialize
+    monkeypatch.setattr(rules, "materialize", lambda df, name: held.setdefault(name, old(df, name)))
+    found = sorted(r["line_id"] for r in rules.duplicates(lines, ConsumptionConfig()).select("line_id").collect())
+    assert found == ["b", "b", "g", "i"]
+    assert held["repeated-lines"].count() == 8

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from stockwarden.llm.common import giving_back
 from stockwarden.session import materialize
 
 CAPACITY, END = 4096, 1
@@ -172,7 +173,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, keep_ids:
 
     kinds = "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(cut, kinds)
+    return source.mapInArrow(giving_back(cut), kinds)
 
 
 class _Plan:

@@ -108,3 +108,14 @@ def test_few_texts_are_split_into_words_at_once(monkeypatch):
     assert all(len(p) == 1 or sum(len(t or "") for t in p[1:]) <= 1000 for p in parts) and len(parts) >= 4
     assert [p.num_rows for p in packing._slices(batch.slice(0, 0))] == [0]
     assert [p.num_rows for p in packing._slices(batch.slice(0, 1))] == [1]
+
+
+def test_memory_of_batches_is_given_back_after_the_last(monkeypatch):
+    import pyarrow as pa
+    from stockwarden.llm import common
+
+    done = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: done.append(1)})())
+    run = common.giving_back(lambda batches: (b.slice(1) for b in batches))(iter([pa.RecordBatch.from_pydict({"x": [1, 2]})] * 2))
+    assert [next(run).num_rows, next(run).num_rows, done] == [1, 1, []]
+    assert list(run) == [] and done == [1]

@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from stockwarden.functions.dates import month_key
 from stockwarden.operators.features import is_volatile
 from stockwarden.operators.patterns import days_before, last_moment
+from stockwarden.session import materialize
 
 #: Level -> what tells its groups apart, beside the case.
 LEVELS = {"all": (), "month": ("month",), "hospital": ("hospital",), "hospital_month": ("hospital", "month"), "hospital_period": ("hospital", "period")}
 SUMS = ("qty", "amount", "volatile_qty", "lines")
 
 
+#: Rows of cases one task sorts, about; more rows make more tasks, so its memory does not grow with the table.
+TASK_ROWS = 1_000_000
+
+
 def case_lattice(lines: DataFrame, days: int = 30) -> DataFrame:
     """Sums by case, hospital, month and period (`now`: the last `days`, `before`: as many before them, `older`), with a mark per level.
 
@@ -28,14 +33,18 @@ def case_lattice(lines: DataFrame, days: int = 30) -> DataFrame:
     now, before = c("ts") > days_before(c("today"), days), c("ts") > days_before(c("today"), 2 * days)
     rows = lines.withColumn("today", last_moment(lines)).withColumns({
         "month": month_key(c("ts")), "period": F.when(now, "now").when(before, "before").otherwise("older"), "volatile_qty": F.when(is_volatile(), c("qty")).otherwise(0.0)})
-    summed = rows.groupBy("case_no", "hospital", "month", "period").agg(*[F.sum(x).alias(x) for x in SUMS[:-1]], F.count("*").alias("lines"))
-    together = summed.repartition("case_no")
-
-    def first_of(level: tuple[str, ...]) -> Column:
-        place = F.row_number().over(Window.partitionBy("case_no", *level).orderBy("hospital", "month", "period"))
-        return F.when(c("case_no").isNotNull() & (place == 1), 1).otherwise(0)
-
-    return together.withColumns({f"case_{name}": first_of(level) for name, level in LEVELS.items()})
+    summed = materialize(rows.groupBy("case_no", "hospital", "month", "period").agg(*[F.sum(x).alias(x) for x in SUMS[:-1]], F.count("*").alias("lines")), "case-sums")
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-summed.count() // TASK_ROWS))
+    together = summed.repartition(tasks, "case_no").withColumn("_age", F.when(c("period") == "now", 2).when(c("period") == "before", 1).otherwise(0))
+    # In this order every level but the month is a run of rows (periods follow months), so all of them share one sort.
+    order = ("hospital", "month", "_age")
+    place = lambda known: F.row_number().over(Window.partitionBy("case_no", *order[:known]).orderBy(*order[known:])) == 1
+    fresh = F.lag("_age").over(Window.partitionBy("case_no", "hospital").orderBy("month", "_age"))
+    first = {
+        "all": place(0), "hospital": place(1), "hospital_month": place(2), "hospital_period": fresh.isNull() | (fresh != c("_age")),
+        "month": F.row_number().over(Window.partitionBy("case_no", "month").orderBy("hospital", "_age")) == 1,
+    }
+    return together.withColumns({f"case_{name}": F.when(c("case_no").isNotNull() & x, 1).otherwise(0) for name, x in first.items()}).drop("_age")
 
 
 def rolled_up(lattice: DataFrame, level: str, sums: tuple[str, ...] = SUMS) -> DataFrame:

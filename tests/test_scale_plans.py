@@ -5,7 +5,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from stockwarden.config import ConsumptionConfig, SupplyConfig
-from stockwarden.operators import features, patterns, profiles, series, sieve
+from stockwarden.operators import features, patterns, profiles, rules, series, sieve
 from stockwarden.session import materialize
 
 
@@ -82,3 +82,42 @@ def test_repeated_ids_meet_every_flag(spark):
     flagged = spark.createDataFrame([("a",), ("a",), (None,)], "line_id string")
     got = sorted((r["x"], r["fresh"]) for r in patterns._marked(lines, flagged).collect())
     assert got == [(1, False), (1, False), (2, False), (2, False), (3, True), (4, True)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scopes_are_grouping_sets_and_blank_entities_drop_out(spark):
+    lines = _lines(spark).withColumn("technician", F.when(F.col("product_id") == 4, " ").when(F.col("product_id") != 3, F.col("technician")))
+    profile_table = profiles.build_profiles(lines)
+    cuts = profiles.cutoffs(lines, profile_table, ConsumptionConfig())
+    assert "Generate" not in _plan(profiles._scope_groups(lines, profiles.SCOPES, {"n": F.count("*")}))
+    got = {(r["scope"], r["product_id"], r["entity"]): r["n"] for r in profiles._scope_groups(lines, profiles.SCOPES, {"n": F.count("*")}).collect()}
+    expected = {}
+    for r in lines.collect():
+        for scope, column in profiles.SCOPES.items():
+            entity = "" if column is None else r[column]
+            if column is None or (entity or "").strip():
+                expected[scope, r["product_id"], entity] = expected.get((scope, r["product_id"], entity), 0) + 1
+    assert got == expected
+    assert cuts.filter("scope = 'product_technician' and product_id in (3, 4)").count() == 0
+    assert cuts.filter("scope = 'product'").count() == 5
+
+
+def test_hits_are_built_without_functions_over_arrays(spark):
+    cfg, lines = ConsumptionConfig(), _lines(spark)
+    more = lines.selectExpr("*", "rate is not null as volatile", "doctor = '' as no_doctor", "30D as duration_min", "hour(ts) > 21 as night", "false as weekend", "false as weighable",
+                            "10D as weight_start", "9D as weight_end", "cast(null as double) as measured_ml", "cast(null as double) as density", "100D as capacity", "1D as product_rate",
+                            "ts as expiry")
+    assert "lambdafunction" not in _plan(rules.local_hits(more, cfg))
+    cuts = materialize(profiles.cutoffs(lines, profiles.build_profiles(lines), cfg), "cuts")
+    assert "lambdafunction" not in _plan(rules.z_hits(more, cuts, cfg))
+
+
+def test_lines_are_not_shuffled_to_the_few_foreign_lots(spark):
+    lines = _lines(spark).withColumn("lot", F.lit("L1")).withColumn("hospital", F.when(F.col("line_id") == "l7", "South").otherwise("North"))
+    path = materialize(lines, "lot-lines")
+    hits = rules.travelling_lots(path, ConsumptionConfig())
+    assert [r["line_id"] for r in hits.collect()] == ["l7"]
+    assert "Exchange hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()

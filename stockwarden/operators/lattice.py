@@ -36,7 +36,7 @@ def case_lattice(lines: DataFrame, days: int = 30) -> DataFrame:
     summed = materialize(rows.groupBy("case_no", "hospital", "month", "period").agg(*[F.sum(x).alias(x) for x in SUMS[:-1]], F.count("*").alias("lines")), "case-sums")
     tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-summed.count() // TASK_ROWS))
     together = summed.repartition(tasks, "case_no").withColumn("_age", F.when(c("period") == "now", 2).when(c("period") == "before", 1).otherwise(0))
-    # In this order every level but the month is a run of rows (periods follow months), so all of them share one sort.
+    # In this order every level but the month is a run of rows (periods follow months), so they share sorts: three in all.
     order = ("hospital", "month", "_age")
     place = lambda known: F.row_number().over(Window.partitionBy("case_no", *order[:known]).orderBy(*order[known:])) == 1
     fresh = F.lag("_age").over(Window.partitionBy("case_no", "hospital").orderBy("month", "_age"))

@@ -9,16 +9,17 @@ by a hash of their id); every document is scored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, DoubleType
 
-from stockwarden.llm.common import crc_mod
+from stockwarden.llm.common import crc_mod, giving_back, values_of
 
 SAMPLE_ROWS = 40_000
 THRESHOLD = 0.3
@@ -133,9 +134,9 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees=60, depth=3, bins=64, rate=0.1
     return Trees(base, *(np.stack(s) for s in out))
 
 
-@pandas_udf(ArrayType(DoubleType()))
-def _statistics(texts: pd.Series) -> pd.Series:
-    return pd.Series(list(statistics(texts)))
+@arrow_udf(ArrayType(DoubleType()))
+def _statistics(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    yield from giving_back(lambda given: (pa.array(list(statistics(values_of(texts))), pa.list_(pa.float64())) for texts in given))(batches)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 5) -> Trees:
@@ -159,9 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fold
 def scorer(trees: Trees):
     """A column function: text -> score."""
 
-    @pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(trees.score(statistics(texts)))
+    @arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from giving_back(lambda given: (pa.array(trees.score(statistics(values_of(texts)))) for texts in given))(batches)
 
     return score
 

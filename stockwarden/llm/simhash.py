@@ -14,18 +14,18 @@ bucket stays large and no link is lost. Nothing is emitted per pair: a bucket yi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import LongType
 
-from stockwarden.llm.common import fresh, mix64, word_bounds, words_of
+from stockwarden.llm.common import fresh, giving_back, mix64, values_of, word_bounds, words_of
 from stockwarden.llm.components import components
 from stockwarden.session import materialize
 
@@ -60,10 +60,15 @@ def fingerprint_of(text: str | None) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n, bitorder="little").tobytes(), "little")
 
 
-@pandas_udf(LongType())
-def fingerprint(texts: pd.Series) -> pd.Series:
+def _fingerprints(batches):
+    for texts in batches:
+        yield pa.array(np.fromiter(map(fingerprint_of, values_of(texts)), np.uint64, len(texts)).view(np.int64))
+
+
+@arrow_udf(LongType())
+def fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The fingerprint's 64 bits as a signed number."""
-    return pd.Series(np.array([fingerprint_of(t) for t in texts], np.uint64).view(np.int64))
+    yield from giving_back(_fingerprints)(batches)
 
 
 def pivot_distances(values: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
@@ -165,12 +170,12 @@ def links(fps: DataFrame) -> DataFrame:
     level = fps.select(F.lit(0).cast("long").alias("bucket"), F.lit(-1).cast("long").alias("free"), "fp")
     found = spark.createDataFrame([], "a long, b long")
     for depth in range(4):
-        keyed = materialize(level.mapInArrow(_key_rows, "bucket long, free long, fp long"), "simhash-keys")
+        keyed = materialize(level.mapInArrow(giving_back(_key_rows), "bucket long, free long, fp long"), "simhash-keys")
         counts = materialize(keyed.groupBy("bucket").count().where("count > 1"), "simhash-buckets")
         crowded = counts.where(F.col("count") > BUCKET) if depth < 3 else counts.where("false")
         small = counts if depth == 3 else counts.where(F.col("count") <= BUCKET)
         lists = keyed.join(small.select("bucket"), "bucket").groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
-        found = found.unionByName(lists.select("fps").mapInArrow(_link_rows, "a long, b long"))
+        found = found.unionByName(lists.select("fps").mapInArrow(giving_back(_link_rows), "a long, b long"))
         if crowded.isEmpty():
             break
         level = keyed.join(crowded.select("bucket"), "bucket")

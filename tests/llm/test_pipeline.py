@@ -1,9 +1,13 @@
+import tracemalloc
+
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from stockwarden.llm import packing, quality
+from stockwarden.llm import packing, passages, quality, simhash
+from stockwarden.llm.common import values_of
 from stockwarden.llm.queries import ORACLES, QUERIES, vocabulary
 from tests.llm.fixtures import no_docs, prose
 
@@ -82,3 +86,13 @@ def test_run_and_empty_documents(spark, tmp_path):
     assert rows.count() == 0
     one = spark.createDataFrame([(1, prose(1, 20), "en", "a", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.packed(spark, one, folder).count() == 1
+
+
+@pytest.mark.parametrize("run", [simhash._fingerprints, passages._word_counts, lambda batches: map(quality.statistics, map(values_of, batches))])
+def test_few_texts_of_a_batch_are_python_objects_at_once(run):
+    texts = pa.array([f"{k:045} " * 200 for k in range(2_000)])
+    tracemalloc.start()
+    assert [len(x) for x in run([texts])] == [2_000]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < texts.nbytes / 3
